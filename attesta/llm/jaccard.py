@@ -4,11 +4,12 @@ Two texts link when |A & B| * den >= num * |A | B| for their sets of k-word shin
 
 1. A table of counts by hash bucket, of fixed size, tells frequent shingles from rare ones. It sums
    over all documents and only orders shingles, so it bears on cost and never on results.
-2. Each text gives the size and digest of its set and the shingles of its prefix: of n shingles in
-   that order, rarest first, the first n - ceil(num * n / den) + 1. Texts that link share one of
-   them. Equal sets become one class, so copies need no comparison.
-3. A shingle of two classes or more is a list. Long lists are cut into blocks by a hash, and each
-   pair of blocks is a unit of bounded size; equal units are searched once.
+2. Each text gives the size and digest of its set and its prefix: the rarest shingles in that order.
+   Texts that link share a known part of their prefixes. Equal sets become one class, so copies need
+   no comparison.
+3. A shingle in the prefixes of two classes or more is a list. Long lists are cut into blocks by a
+   hash, and each pair of blocks is a unit of bounded size; equal units are searched once. The search
+   gives candidates, and their components are the units of the second search, over whole sets.
 4. In a unit, each class asks for those that share T of its shingles: the short lists are merged by
    a heap, the long ones are probed by binary search (DivideSkip, Li et al., 2008). Pairs that are
    connected in their unit already are passed over; this drops links, not reachability.
@@ -92,7 +93,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np.n
             for i, s in shingle_sets(batch, k):
                 n[i] = len(s)
                 d[i] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                prefix[i] = rare_first(s, len(s) + 1 - (num * len(s) + den - 1) // den).astype(np.int64)
+                prefix[i] = rare_first(s, len(s) - least_common(len(s), num, den) + prefix_share(len(s), num, den)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), shared.lists(prefix, pa.int64())],
                 ["doc_id", "n_shingles", "d1", "d2", "prefix"],
@@ -140,12 +141,22 @@ def divide_skip(lists: list[list[int]], t: int, skip) -> Iterator[tuple[int, int
             yield member, n
 
 
-def unit_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected among these sets."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
-    sets, ids = [sets[i] for i in order], [ids[i] for i in order]
-    sizes = [len(s) for s in sets]
-    owner = np.repeat(np.arange(len(sets)), sizes)
+def least_common(n: int, num: int, den: int) -> int:
+    """What a set of n shares with any that it links to."""
+    return (num * n + den - 1) // den
+
+
+def prefix_share(n: int, num: int, den: int) -> int:
+    """Of a prefix of n - least_common + this many, rarest first, what two sets share that link, the
+    smaller having n. It is 1 at least; more makes longer prefixes and far fewer false candidates."""
+    return 1 + (n - least_common(n, num, den)) // 2
+
+
+def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: int, den: int, prefixes: bool = False) -> list[tuple[int, int]]:
+    """Links that connect what is connected among these sets; of prefixes, pairs that may link."""
+    order = sorted(range(len(sets)), key=lambda i: (sizes[i], ids[i]))
+    sets, ids, sizes = ([x[i] for i in order] for x in (sets, ids, sizes))
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared_by = n[token] > 1
     token, owner = token[shared_by], owner[shared_by]
@@ -165,14 +176,14 @@ def unit_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> li
     for q in range(len(sets) - 1):
         if apart == 1:
             break
-        least = (num * sizes[q] + den - 1) // den  # of a partner as large or larger
+        least = (prefix_share if prefixes else least_common)(sizes[q], num, den)  # with one as large or larger
         mine = [x[bisect.bisect_right(x, q) :] for x in map(lists.__getitem__, tokens[q].tolist())]
         mine = [x for x in mine if x]
         if len(mine) < least:
             continue
         here = find(q)
         for other, common in divide_skip(mine, least, lambda m: find(m) == here):
-            if common * den >= num * (sizes[q] + sizes[other] - common):
+            if sizes[q] * den >= num * sizes[other] if prefixes else common * den >= num * (sizes[q] + sizes[other] - common):
                 links.append((ids[q], ids[other]))
                 root[find(other)] = here = find(q)
                 apart -= 1
@@ -182,54 +193,89 @@ def unit_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> li
 # ---------------------------------------------------------------- the join
 
 
+def units(lists: DataFrame, key: str, member: str) -> DataFrame:
+    """(members): the sorted members of each list of (key, member) rows, or, where there are more than
+    BLOCK, of each pair of its blocks. Equal ones come once."""
+    n = lists.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    rows = lists.join(n, key).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = (F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = rows.groupBy(key, *both).agg(F.array_sort(F.collect_set(member)).alias("members"))
+    return found.where("size(members) > 1").select("members").distinct()
+
+
+def searched(rows: DataFrame, find) -> DataFrame:
+    """(a, b): what find(ids, sizes, sets) gives for each unit of (u1, u2, id, size, shingles) rows."""
+
+    def search(batches):
+        for unit in shared.runs(batches, "u1"):
+            parts: dict[int, dict] = {}
+            for u2, i, n, raw in zip(*(unit.column(c).to_pylist() for c in ("u2", "id", "size", "shingles"))):
+                parts.setdefault(u2, {})[(i, n, raw)] = np.frombuffer(raw, np.uint64)
+            for part in parts.values():
+                pairs = find([i for i, _, _ in part], [n for _, n, _ in part], list(part.values())) if len(part) > 1 else []
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+
+    return rows.repartition("u1").sortWithinPartitions("u1").mapInArrow(search, "a long, b long")
+
+
+def packed(batches):
+    """Arrays of longs as bytes."""
+    for batch in batches:
+        flat = [np.array(x, np.int64).tobytes() for x in batch.column("tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u1", "u2", "id", "size")] + [pa.array(flat, pa.binary())], ["u1", "u2", "id", "size", "shingles"])
+
+
+UNIT = "u1 long, u2 int, id long, size long, shingles binary"
+
+
+def candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of classes that share enough of their prefixes, or a path of these."""
+    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    reps = signed.join(classes, ["d1", "d2"]).where("doc_id = rep")
+    postings = reps.select("rep", "n_shingles", F.explode("prefix").alias("token"))
+    common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    postings = shared.stage(postings.join(common, "token"), "postings")
+    found = units(postings.select("token", "rep"), "token", "rep")
+    found = found.select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("id"))
+    kept = postings.groupBy(F.col("rep").alias("id"), F.col("n_shingles").alias("size")).agg(F.collect_list("token").alias("tokens"))
+    rows = found.join(kept, "id").select("u1", "u2", "id", "size", "tokens").mapInArrow(packed, UNIT)
+    return searched(rows, lambda ids, sizes, sets: unit_links(ids, sizes, sets, num, den, prefixes=True))
+
+
 def links(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): links between classes, each named by its smallest doc_id; between classes that link,
     directly or by others, there is a path of these."""
-    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = signed.join(classes, ["d1", "d2"]).where("doc_id = rep").select("rep", "prefix")
-    postings = reps.select("rep", F.explode("prefix").alias("token"))
-    common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = postings.join(common, "token").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = blocks.groupBy("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
-        F.array_sort(F.collect_set("rep")).alias("members")
-    )
-    units = units.where("size(members) > 1").select("members").distinct()
-    members = units.select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("rep"))
-    members = shared.stage(members.groupBy("rep").agg(F.collect_list(F.struct("u1", "u2")).alias("units")), "units")
-
+    groups = shared.components(candidates(signed, num, den))
+    found = units(groups, "component", "node").select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("rep"))
+    members = shared.stage(found.groupBy("rep").agg(F.collect_list(F.struct("u1", "u2")).alias("units")), "units")
     n_units, n_members = members.agg(F.sum(F.size("units")), F.count("*")).first()
     small = 16 * (n_units or 0) + 32 * n_members <= BROADCAST_BYTES
     wanted = docs.select("doc_id", "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("rep"))
 
     def ship(batches):
         for batch in batches:
-            rows = [(u["u1"], u["u2"], i) for i, units in enumerate(batch.column("units").to_pylist()) for u in units]
-            kept: list[np.ndarray | None] = [None] * batch.num_rows
+            ids, of = batch.column("doc_id").to_pylist(), batch.column("units").to_pylist()
+            rows, held = [], 0
             for i, s in shingle_sets(batch, k):
-                kept[i] = s
-            ids = batch.column("doc_id").to_pylist()
-            rows = [r for r in rows if kept[r[2]] is not None]
-            for at in range(0, len(rows), 2000):
-                part = rows[at : at + 2000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), pa.array([ids[r[2]] for r in part], pa.int64()), pa.array([kept[r[2]].tobytes() for r in part], pa.binary())],
-                    ["u1", "u2", "doc_id", "shingles"],
-                )
-
-    def search(batches):
-        for unit in shared.runs(batches, "u1"):
-            rows: dict[int, dict] = {}
-            for u2, i, raw in zip(*(unit.column(c).to_pylist() for c in ("u2", "doc_id", "shingles"))):
-                rows.setdefault(u2, {})[(i, raw)] = np.frombuffer(raw, np.uint64)
-            for found in rows.values():
-                pairs = unit_links([i for i, _ in found], list(found.values()), num, den) if len(found) > 1 else []
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
-
-    sets = wanted.select("doc_id", "text", "units").mapInArrow(ship, "u1 long, u2 int, doc_id long, shingles binary")
-    return sets.repartition("u1").sortWithinPartitions("u1").mapInArrow(search, "a long, b long")
+                raw = s.tobytes()
+                rows += [(u["u1"], u["u2"], ids[i], len(s), raw) for u in of[i]]
+                held += len(raw)
+                if held > 1 << 24:
+                    yield _unit_rows(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _unit_rows(rows)
+
+    rows = wanted.select("doc_id", "text", "units").mapInArrow(ship, UNIT)
+    return searched(rows, lambda ids, sizes, sets: unit_links(ids, sizes, sets, num, den))
+
+
+def _unit_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["u1", "u2", "id", "size", "shingles"])
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
