@@ -7,9 +7,10 @@ Two texts link when |A & B| * den >= num * |A | B| for their sets of k-word shin
 2. Each text gives the size and digest of its set and its prefix: the rarest shingles in that order.
    Texts that link share a known part of their prefixes. Equal sets become one class, so copies need
    no comparison.
-3. A shingle in the prefixes of two classes or more is a list. Long lists are cut into blocks by a
-   hash, and each pair of blocks is a unit of bounded size; equal units are searched once. The search
-   gives candidates, and their components are the units of the second search, over whole sets.
+3. A shingle in the prefixes of two classes or more is a list. Lists with the same first class are
+   searched together; long ones are cut into blocks by a hash, and each pair of blocks is a unit of
+   bounded size. The search gives candidates, and their components are the units of the second
+   search, over whole sets.
 4. In a unit, each class asks for those that share T of its shingles: the short lists are merged by
    a heap, the long ones are probed by binary search (DivideSkip, Li et al., 2008). Pairs that are
    connected in their unit already are passed over; this drops links, not reachability.
@@ -236,9 +237,9 @@ def candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(classes, ["d1", "d2"]).where("doc_id = rep")
     postings = reps.select("rep", "n_shingles", F.explode("prefix").alias("token"))
-    common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    common = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("token", "first")
     postings = shared.stage(postings.join(common, "token"), "postings")
-    found = units(postings.select("token", "rep"), "token", "rep")
+    found = units(postings.select("first", "rep").distinct(), "first", "rep")
     found = found.select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("id"))
     kept = postings.groupBy(F.col("rep").alias("id"), F.col("n_shingles").alias("size")).agg(F.collect_list("token").alias("tokens"))
     rows = found.join(kept, "id").select("u1", "u2", "id", "size", "tokens").mapInArrow(packed, UNIT)

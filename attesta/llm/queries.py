@@ -1,9 +1,20 @@
 """The queries of the training-data operators by name, and SQL that gives their rows."""
 
-from . import jaccard
+from . import archives, curriculum, jaccard, language, pivots, quality, substrings, tokens
 
 QUERIES = {
+    "op1_token_length_histogram": tokens.op1_token_length_histogram,
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
+    "op3_curriculum_mix": curriculum.op3_curriculum_mix,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_language_id": language.op5_language_id,
+    "op8_warc_round_trip": archives.op8_warc_round_trip,
+    "op9_importance_resampling": quality.op9_importance_resampling,
+    "op10_pivot_near_dedup": pivots.op10_pivot_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_curriculum_mix": curriculum.OP3_SQL,
+    "op8_warc_round_trip": archives.OP8_SQL,
+    "op10_pivot_near_dedup": pivots.OP10_SQL,
+}

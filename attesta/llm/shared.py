@@ -78,7 +78,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts with about so many bytes together, one text at least."""
     at, n = 0, len(offsets) - 1
     while at < n:
