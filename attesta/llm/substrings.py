@@ -7,13 +7,15 @@ starts earlier in the input: in a document of smaller doc_id, or earlier in the
    words, so equal windows own equal anchors. Anchors are about a seventh of the words.
 2. Seed: anchors that occur once in the corpus are told to their documents; windows that own one of
    these cannot repeat.
-3. Extend: the other anchors are extended both ways to each window that they own, and a 96-bit digest
-   of its words says which windows are equal. The earliest of each is found by a min that is taken
-   in part before the shuffle, so a passage of very many documents costs one row for each task.
+3. Extend: the other anchors are extended both ways over all windows that they own, to a block. Where
+   a 96-bit digest finds the block in an earlier document, all its windows are repeats. Only the
+   earliest of equal blocks go on to the comparison window by window, again by digest. The earliest
+   is a min that is taken in part before each shuffle, so a passage of very many documents costs one
+   row for each task.
 4. Repeated windows are merged into maximal runs and cut out of the text. The white space after a
    word goes with it.
 
-Steps 3 and 4 share one shuffle of the texts. Null text counts as empty. Rows of null doc_id keep all
+All steps after the first share one shuffle of the texts. Null text counts as empty. Rows of null doc_id keep all
 words and make no other row lose any. Repeated rows of one doc_id stand at the same place, so none is
 earlier than the other; where one doc_id has different texts, they may keep words that they share
 with others. Documents shorter than a window lose nothing. Extra columns are ignored.
@@ -49,8 +51,8 @@ def owners(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple]:
-    """(row, words, number of the text among these words' texts, word hashes of all, gram hashes, owner
-    of each window of the row) for rows with a window at least; places count from the row's first word."""
+    """(row, words, number of the text among these words' texts, all their hashes, gram hashes of the row,
+    owner of each of its windows) for rows with a window at least; places count from its first word."""
     for a, _, words in shared.text_slices(batch):
         each = shared.word_hashes(words)
         if len(each) < window:
@@ -59,24 +61,53 @@ def anchored(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple]:
         owner = owners(grams, window - gram + 1)
         for i in np.flatnonzero(np.diff(words.first) >= window):
             f, t = words.first[i], words.first[i + 1]
-            yield a + int(i), words, int(i), each[f:t], grams[f : t - gram + 1], owner[f : t - window + 1] - f
+            yield a + int(i), words, int(i), each, grams[f : t - gram + 1], owner[f : t - window + 1] - f
 
 
-def window_digests(each: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    one = np.full(len(starts), np.uint64(window), np.uint64)
-    two = ~one
-    for j in range(window):
-        w = each[starts + j]
-        one = one * shared._ROUNDS[j % 64] + w
-        two = two * shared._ROUNDS[63 - j % 64] + shared.mixed(w ^ np.uint64(j + 1))
-        if j % 8 == 7:
-            one, two = shared.mixed(one), shared.mixed(two)
-    return shared.mixed(one).astype(np.int64), (shared.mixed(two) >> np.uint64(33)).astype(np.int32)
+class Digests:
+    """Digests of 96 bits of any runs of words, from two running polynomials modulo 2^64."""
 
+    def __init__(self, each: np.ndarray):
+        n = len(each) + 1
+        self.sums = [np.append(np.uint64(0), np.cumsum(w * _powers(base, n)[:-1])) for w, base in ((each, _BASES[0]), (shared.mixed(each ^ _BASES[2]), _BASES[1]))]
+        self.back = [_powers(np.uint64(pow(int(b), -1, 1 << 64)), n) for b in _BASES[:2]]
 
-def extended(owner: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """Starts of windows whose anchor occurs elsewhere too."""
-    return np.flatnonzero(~np.isin(owner, single)) if len(single) else np.arange(len(owner))
+    def of(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = (end - begin).astype(np.uint64) * _BASES[3]
+        one, two = (shared.mixed((s[end] - s[begin]) * b[begin] + size) for s, b in zip(self.sums, self.back))
+        return one.astype(np.int64), (two >> np.uint64(33)).astype(np.int32)
+
+
+_BASES = shared._ROUNDS[:4]
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def seeded(owner: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, last window) of each anchor that occurs elsewhere too."""
+    edge = np.append(0, np.flatnonzero(np.diff(owner)) + 1)
+    place, last = owner[edge], np.append(edge[1:], len(owner)) - 1
+    if len(single):
+        again = ~np.isin(place, single)
+        place, edge, last = place[again], edge[again], last[again]
+    return place, edge, last
+
+
+def windows_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All windows from first to last of each block."""
+    n = last - first + 1
+    return np.arange(n.sum()) + np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n)
+
+
+def earliest_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Places of the first of equal digests, ascending."""
+    order = np.lexsort((np.arange(len(one)), two, one))
+    new = np.append(True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)) if len(one) else np.zeros(0, bool)
+    return np.sort(order[new])
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -98,37 +129,62 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, repeats array<struct<start, end>>, kept_text) of each row: the maximal runs of
     words that go, and the text without them."""
+    same = F.col("doc_id") == F.col("id")
     once = anchors(docs, window, gram).groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.min("place").alias("place"))
     once = once.where("n = 1").groupBy("id").agg(F.collect_list("place").alias("single"))
-    told = docs.select("doc_id", "text").join(once.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").drop("id")
-
-    def extend(batches):
-        for batch in batches:
-            ids, single = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("single")
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for row, _, _, each, _, owner in anchored(batch, window, gram):
-                starts = extended(owner, _ints(single[row]))
-                if len(starts):
-                    one, two = window_digests(each, starts, window)
-                    for x, y in zip(out, (one, two, np.full(len(starts), ids[row], np.int64), starts.astype(np.int32))):
-                        x.append(y)
-                if len(out[0]) and sum(map(len, out[0])) > 200_000:
+    told = docs.select("doc_id", "text").join(once.hint("shuffle_hash"), same, "left").drop("id")
+
+    def emit(pick):
+        """Digests of what pick(row's lists, owner, digests, first word) gives, the first of equal ones."""
+
+        def run(batches):
+            for batch in batches:
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                lists = [batch.column(c) for c in batch.schema.names[2:]]
+                out, held, of, words_of = [], 0, None, None
+                for row, words, i, each, _, owner in anchored(batch, window, gram):
+                    if words is not words_of:
+                        of, words_of = Digests(each), words
+                    f = words.first[i]
+                    place, begin, end = pick([_ints(x[row]) for x in lists], owner)
+                    if not len(place):
+                        continue
+                    one, two = of.of(f + begin, f + end)
+                    first = earliest_of(one, two)
+                    out.append((one[first], two[first], np.full(len(first), ids[row], np.int64), place[first].astype(np.int32)))
+                    held += len(first)
+                    if held > 200_000:
+                        yield _rows(out)
+                        out, held = [], 0
+                if out:
                     yield _rows(out)
-                    out = [[], [], [], []]
-            if out[0]:
-                yield _rows(out)
 
-    def _rows(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["one", "two", "doc_id", "start"])
+        return run
+
+    def blocks(lists, owner):
+        place, first, last = seeded(owner, lists[0])
+        return place, first, last + window
 
-    windows = told.where("doc_id is not null").mapInArrow(extend, "one long, two int, doc_id long, start int")
-    earliest = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("w"))
-    earliest = earliest.groupBy(F.col("w.doc_id").alias("id")).agg(F.collect_list("w.start").alias("earliest"))
-    final = told.join(earliest.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").drop("id")
+    def windows(lists, owner):
+        place, first, last = seeded(owner, lists[0])
+        mine = np.isin(place, lists[1])
+        starts = windows_of(first[mine], last[mine])
+        return starts, starts, starts + window
+
+    def firsts(rows: DataFrame, name: str) -> DataFrame:
+        found = rows.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.min_by("place", "doc_id").alias("place"))
+        return found.groupBy("id").agg(F.collect_list("place").alias(name)).hint("shuffle_hash")
+
+    digests = "one long, two int, doc_id long, place int"
+    seeds = told.where("doc_id is not null").mapInArrow(emit(blocks), digests)
+    told = told.join(firsts(seeds, "blocks"), same, "left").drop("id")
+    extended = told.where("blocks is not null").mapInArrow(emit(windows), digests)
+    final = told.join(firsts(extended, "earliest"), same, "left").drop("id")
 
     def cut(batches):
         for batch in batches:
-            ids, single, earliest = batch.column("doc_id"), batch.column("single"), batch.column("earliest")
+            ids = batch.column("doc_id")
+            lists = [batch.column(c) for c in ("single", "earliest")]
             text = batch.column("text")
             data, offsets = shared.utf8(text)
             n_words = np.zeros(batch.num_rows, np.int64)
@@ -139,8 +195,10 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
             for row, words, i, _, _, owner in anchored(batch, window, gram):
                 if not ids[row].is_valid:
                     continue
-                starts = extended(owner, _ints(single[row]))
-                starts = np.setdiff1d(starts, _ints(earliest[row]), assume_unique=True) if len(starts) else starts
+                single, earliest = (_ints(x[row]) for x in lists)
+                _, first, last = seeded(owner, single)
+                starts = windows_of(first, last)
+                starts = starts[~np.isin(starts, earliest)]
                 if not len(starts):
                     continue
                 edge = np.flatnonzero(np.diff(starts) > window) + 1
@@ -156,6 +214,10 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     return final.mapInArrow(cut, "doc_id long, n_words long, repeats array<struct<start:int,end:int>>, kept_text string")
 
 
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["one", "two", "doc_id", "place"])
+
+
 def _ints(value: pa.Scalar) -> np.ndarray:
     return np.zeros(0, np.int64) if not value.is_valid else value.values.to_numpy(zero_copy_only=False)
 
@@ -163,7 +225,6 @@ def _ints(value: pa.Scalar) -> np.ndarray:
 def _without(words: shared.Words, i: int, begin: np.ndarray, end: np.ndarray) -> str:
     """The text of number i without the words from begin to end, of each run, and the white space after them."""
     f, t = words.first[i], words.first[i + 1]
-    head = words.end[f - 1] if f else 0
     tail = words.start[t] if t < len(words.start) else len(words.data)
     starts = np.append(words.start[f:t], tail)
     data, at, out = words.data, words.start[f], []
@@ -172,7 +233,6 @@ def _without(words: shared.Words, i: int, begin: np.ndarray, end: np.ndarray) ->
         at = starts[e]
     if at < tail:
         out.append(data[at : words.end[t - 1]].tobytes())
-    del head
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
