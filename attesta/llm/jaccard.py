@@ -7,7 +7,8 @@ Two texts link when |A & B| * den >= num * |A | B| for their sets of k-word shin
 2. Each text gives the size and digest of its set and its prefix: the rarest shingles in that order.
    Texts that link share a known part of their prefixes. Equal sets become one class, so copies need
    no comparison.
-3. A shingle in the prefixes of two classes or more is a list. Lists with the same first class are
+3. A shingle in the prefixes of two classes or more is a list. Classes of fewer lists than partners
+   share are out, and of the others only the shortest lists are needed. Those with the same first class are
    searched together; long ones are cut into blocks by a hash, and each pair of blocks is a unit of
    bounded size. The search gives candidates, and their components are the units of the second
    search, over whole sets.
@@ -237,11 +238,19 @@ def candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(classes, ["d1", "d2"]).where("doc_id = rep")
     postings = reps.select("rep", "n_shingles", F.explode("prefix").alias("token"))
-    common = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("token", "first")
-    postings = shared.stage(postings.join(common, "token"), "postings")
-    found = units(postings.select("first", "rep").distinct(), "first", "rep")
+    common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    useful = postings.join(common, "token").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("useful"))
+    # partners share this many of what is left; so they share one of the rarest but for those
+    own = f"({num} * n_shingles + {den - 1}) div {den}"
+    least = F.expr(f"cast(1 + (({own}) - ({num} * ({own}) + {den - 1}) div {den}) div 2 as int)")
+    useful = useful.withColumn("least", least).where(F.size("useful") >= F.col("least"))
+    keys = F.slice("useful", F.lit(1), F.size("useful") - F.col("least") + 1)
+    useful = shared.stage(useful.select("rep", "n_shingles", F.col("useful.token").alias("tokens"), F.transform(keys, lambda u: u["token"]).alias("keys")), "useful")
+    lists = useful.select("rep", F.explode("keys").alias("token"))
+    firsts = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("token", "first")
+    found = units(lists.join(firsts, "token").select("first", "rep").distinct(), "first", "rep")
     found = found.select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("id"))
-    kept = postings.groupBy(F.col("rep").alias("id"), F.col("n_shingles").alias("size")).agg(F.collect_list("token").alias("tokens"))
+    kept = useful.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), "tokens")
     rows = found.join(kept, "id").select("u1", "u2", "id", "size", "tokens").mapInArrow(packed, UNIT)
     return searched(rows, lambda ids, sizes, sets: unit_links(ids, sizes, sets, num, den, prefixes=True))
 
