@@ -19,6 +19,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -94,7 +95,7 @@ def records_of(urn: str, url: str | None, kind: str, refers_to: str | None, dige
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT) -> None:
-    """Writes the pages as uncompressed WARC files under the path."""
+    """Writes the pages as gzipped WARC files under the path."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     long = rows.where(F.octet_length("payload") >= least)
@@ -116,7 +117,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
 
     records = rows.select("page_id", "url", "payload", "digest", "keeper", "kept_url").mapInArrow(write, "record binary")
     text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    text.write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, compression="gzip")
 
 
 # ---------------------------------------------------------------- reading
@@ -148,7 +149,8 @@ def archive_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for f, block in parsed(content.as_py()):
+                raw = content.as_py()
+                for f, block in parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     number = f.get("warc-segment-number")
                     total = f.get("warc-segment-total-length")
                     origin = f.get("warc-segment-origin-id") or (f.get("warc-record-id") if number else None)

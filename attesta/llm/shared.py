@@ -59,6 +59,8 @@ def unstage(df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; from here on Arrow batches have few enough rows for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
