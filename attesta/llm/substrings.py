@@ -139,7 +139,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
 
         def run(batches):
             for batch in batches:
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                ids = batch.column("doc_id")
+                known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
                 lists = [batch.column(c) for c in batch.schema.names[2:]]
                 out, held, of, words_of = [], 0, None, None
                 for row, words, i, each, _, owner in anchored(batch, window, gram):
@@ -147,7 +148,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                         of, words_of = Digests(each), words
                     f = words.first[i]
                     place, begin, end = pick([_ints(x[row]) for x in lists], owner)
-                    if not len(place):
+                    if not known[row] or not len(place):
                         continue
                     one, two = of.of(f + begin, f + end)
                     first = earliest_of(one, two)
@@ -176,9 +177,10 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
         return found.groupBy("id").agg(F.collect_list("place").alias(name)).hint("shuffle_hash")
 
     digests = "one long, two int, doc_id long, place int"
-    seeds = told.where("doc_id is not null").mapInArrow(emit(blocks), digests)
+    # no filter stands between the texts and their uses: all of them read the one exchange
+    seeds = told.mapInArrow(emit(blocks), digests)
     told = told.join(firsts(seeds, "blocks"), same, "left").drop("id")
-    extended = told.where("blocks is not null").mapInArrow(emit(windows), digests)
+    extended = told.mapInArrow(emit(windows), digests)
     final = told.join(firsts(extended, "earliest"), same, "left").drop("id")
 
     def cut(batches):
