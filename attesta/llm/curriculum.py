@@ -123,9 +123,11 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with how much of each and where, in order of position."""
+    """The documents that the mix takes, with how much of each and where, in order of position. Columns of
+    the mix replace those of the same names."""
     plan = mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken", "copies")
-    return by_first_position(docs.join(plan, "doc_id"))
+    own = [c for c in docs.columns if c not in plan.columns[1:] and c != "position"]
+    return by_first_position(docs.select(*own).join(plan, "doc_id"))
 
 
 def _time_sql(share: str, schedule: tuple) -> str:

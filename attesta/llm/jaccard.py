@@ -39,8 +39,6 @@ from . import shared
 
 BUCKETS = 1 << 20
 BLOCK = 256
-#: Bytes of unit members up to which they are broadcast to the scan; beyond it they are joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
 #: DivideSkip's weight of probing against merging.
 MU = 0.01
 
@@ -233,10 +231,9 @@ def packed(batches):
 UNIT = "u1 long, u2 int, id long, size long, shingles binary"
 
 
-def candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
+def candidates(signed: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): pairs of classes that share enough of their prefixes, or a path of these."""
-    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = signed.join(classes, ["d1", "d2"]).where("doc_id = rep")
+    reps = signed.join(classes, ["d1", "d2"]).where("doc_id = class_id").withColumnRenamed("class_id", "rep")
     postings = reps.select("rep", "n_shingles", F.explode("prefix").alias("token"))
     common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     useful = postings.join(common, "token").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("useful"))
@@ -255,14 +252,14 @@ def candidates(signed: DataFrame, num: int, den: int) -> DataFrame:
     return searched(rows, lambda ids, sizes, sets: unit_links(ids, sizes, sets, num, den, prefixes=True))
 
 
-def links(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): links between classes, each named by its smallest doc_id; between classes that link,
     directly or by others, there is a path of these."""
-    groups = shared.components(candidates(signed, num, den))
+    groups = shared.components(candidates(signed, classes, num, den))
     found = units(groups, "component", "node").select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("rep"))
     members = shared.stage(found.groupBy("rep").agg(F.collect_list(F.struct("u1", "u2")).alias("units")), "units")
     n_units, n_members = members.agg(F.sum(F.size("units")), F.count("*")).first()
-    small = 16 * (n_units or 0) + 32 * n_members <= BROADCAST_BYTES
+    small = 16 * (n_units or 0) + 32 * n_members <= shared.BROADCAST_BYTES
     wanted = docs.select("doc_id", "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("rep"))
 
     def ship(batches):
@@ -292,8 +289,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     """(doc_id, n_shingles, class_id, component_id) of each row: the size of its shingle set, the
     smallest doc_id with the same set and the smallest reachable by links."""
     signed = shared.stage(signatures(docs, k, num, den, frequent_buckets(docs, k)), "signatures")
-    found = shared.components(links(docs, signed, k, num, den))
-    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
+    # a table of its own, so that a class of very many copies can be split where it is joined
+    classes = shared.stage(signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
+    found = shared.components(links(docs, signed, classes, k, num, den))
     rows = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
     rows = rows.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     own = F.coalesce("class_id", "doc_id")
@@ -307,6 +305,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that name their component: one of each group of near copies."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents that name their component, one row each: one of each group of near copies. Rows of
+    null doc_id cannot be told apart and go."""
+    named = shared.stage(jaccard_components(docs), "components")
+    rows = shared.without(docs.where("doc_id is not null"), named.where("doc_id <> component_id"))
+    twice = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null").select("doc_id")
+    twice = shared.stage(twice, "repeated")
+    if not twice.head(1):
+        return rows
+    again = rows.join(shared.bounded(twice, 48), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return shared.without(rows, twice).union(again)

@@ -190,6 +190,6 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that importance resampling keeps."""
-    kept = resampled(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents that importance resampling keeps; a doc_id with several texts goes only with all."""
+    rows = resampled(docs, labels).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    return shared.without(docs, rows.where("not kept"))

@@ -126,22 +126,24 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(seeds, "anchor long, doc_id long, place int")
 
 
-def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, repeats array<struct<start, end>>, kept_text) of each row: the maximal runs of
-    words that go, and the text without them."""
+    words that go, and the text without them. Columns to carry come with them, as one struct `carried`."""
     same = F.col("doc_id") == F.col("id")
+    more = [F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")] if carry else []
+    extra = ["carried"] if carry else []
     once = anchors(docs, window, gram).groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.min("place").alias("place"))
     once = once.where("n = 1").groupBy("id").agg(F.collect_list("place").alias("single"))
-    told = docs.select("doc_id", "text").join(once.hint("shuffle_hash"), same, "left").drop("id")
+    told = docs.select("doc_id", "text", *more).join(once.hint("shuffle_hash"), same, "left").drop("id")
 
-    def emit(pick):
-        """Digests of what pick(row's lists, owner, digests, first word) gives, the first of equal ones."""
+    def emit(pick, *names):
+        """Digests of what pick(the row's lists of these names, owner) gives, the first of equal ones."""
 
         def run(batches):
             for batch in batches:
                 ids = batch.column("doc_id")
                 known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-                lists = [batch.column(c) for c in batch.schema.names[2:]]
+                lists = [batch.column(c) for c in names]
                 out, held, of, words_of = [], 0, None, None
                 for row, words, i, each, _, owner in anchored(batch, window, gram):
                     if words is not words_of:
@@ -177,10 +179,10 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
         return found.groupBy("id").agg(F.collect_list("place").alias(name)).hint("shuffle_hash")
 
     digests = "one long, two int, doc_id long, place int"
-    # no filter stands between the texts and their uses: all of them read the one exchange
-    seeds = told.mapInArrow(emit(blocks), digests)
+    # no filter or selection stands between the texts and their uses: all of them read the one exchange
+    seeds = told.mapInArrow(emit(blocks, "single"), digests)
     told = told.join(firsts(seeds, "blocks"), same, "left").drop("id")
-    extended = told.mapInArrow(emit(windows), digests)
+    extended = told.mapInArrow(emit(windows, "single", "blocks"), digests)
     final = told.join(firsts(extended, "earliest"), same, "left").drop("id")
 
     def cut(batches):
@@ -209,11 +211,12 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                 kept[row] = _without(words, i, begin, end)
             texts = text if not kept else pa.array([kept[r] if r in kept else t for r, t in enumerate(text.to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), texts.cast(pa.string())],
-                ["doc_id", "n_words", "repeats", "kept_text"],
+                [ids, pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), texts.cast(pa.string()), *(batch.column(c) for c in extra)],
+                ["doc_id", "n_words", "repeats", "kept_text", *extra],
             )
 
-    return final.mapInArrow(cut, "doc_id long, n_words long, repeats array<struct<start:int,end:int>>, kept_text string")
+    kind = "".join(f", {c} {final.schema[c].dataType.simpleString()}" for c in extra)
+    return final.mapInArrow(cut, f"doc_id long, n_words long, repeats array<struct<start:int,end:int>>, kept_text string{kind}")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -247,7 +250,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with their repeats cut out; n_chars, where there is one, follows the text."""
-    cut = cut_repeats(docs).where("size(repeats) > 0").select("doc_id", "kept_text")
-    rows = docs.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left")
-    new = F.coalesce("kept_text", "text")
-    return rows.select(*[new.alias(c) if c == "text" else F.char_length(new).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    rows = cut_repeats(docs, carry=others)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col("carried")[f"c{i}"] for i, c in enumerate(others)}
+    if "n_chars" in new:
+        new["n_chars"] = F.when(F.size("repeats") > 0, F.char_length("kept_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(new["n_chars"])
+    return rows.select(*[new[c].alias(c) for c in docs.columns])
