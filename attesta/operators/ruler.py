@@ -35,10 +35,20 @@ def to_code_points(text: Column, offset: Column, edge: str) -> Column:
 
 
 def located(snippets: DataFrame, docs: DataFrame, snippet: str = "snippet_id", text: str = "snippet", doc: str = "doc_id") -> DataFrame:
-    """(snippet, doc, start, end) of every place where a snippet stands in a text. The snippets are a
-    stated set, held against all documents in one scan of these; occurrences may overlap."""
-    s = snippets.select(snippet, F.col(text).alias("_s")).where("_s <> ''")
-    rows = docs.select(doc, "text").join(s, F.contains(F.col("text"), F.col("_s")))
+    """(snippet, doc, start, end) of every place where a snippet stands in a text; occurrences may overlap.
+
+    A snippet's longest word that has others on both sides must be a whole word of the text, so documents
+    and snippets meet by an equi-join on that word. Only snippets of two words or fewer, a stated set, are
+    held against every text.
+    """
+    words = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
+    asked = snippets.select(snippet, F.col(text).alias("_s")).where("_s <> ''").withColumn("_w", words(F.col("_s")))
+    inner = F.slice("_w", F.lit(2), F.greatest(F.lit(0), F.size("_w") - 2))
+    asked = asked.withColumn("_key", F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"])
+    keyed, bare = asked.where("_key is not null").drop("_w"), asked.where("_key is null").select(snippet, "_s")
+    met = docs.select(doc, F.explode(F.array_distinct(words(F.col("text")))).alias("_key")).join(keyed, "_key").select(doc, snippet, "_s").distinct()
+    rows = met.join(docs.select(doc, "text"), doc).select(snippet, "_s", doc, "text").where(F.contains("text", "_s"))
+    rows = rows.union(docs.select(doc, "text").join(bare, F.contains("text", "_s")).select(snippet, "_s", doc, "text"))
     n = F.char_length("_s")
     starts = F.filter(F.sequence(F.lit(1), F.char_length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n) == F.col("_s"))
     return rows.select(snippet, doc, F.explode(starts).alias("at"), n.alias("n")).select(snippet, doc, (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("n")).alias("end"))
