@@ -9,9 +9,10 @@ Two texts link when |A & B| * den >= num * |A | B| for their sets of k-word shin
    no comparison.
 3. A shingle in the prefixes of two classes or more is a list. Classes of fewer lists than partners
    share are out, and of the others only the shortest lists are needed. Those with the same first class are
-   searched together; long ones are cut into blocks by a hash, and each pair of blocks is a unit of
-   bounded size. The search gives candidates, and their components are the units of the second
-   search, over whole sets.
+   searched together; long ones are cut into blocks by a hash that hang in a tree, and each block is
+   searched with its parent. That joins near copies of one text; only members of a long list that
+   are still outside its main component are then held against all its blocks. The search gives
+   candidates, and their components are the lists of a second search, over whole sets.
 4. In a unit, each class asks for those that share T of its shingles: the short lists are merged by
    a heap, the long ones are probed by binary search (DivideSkip, Li et al., 2008). Pairs that are
    connected in their unit already are passed over; this drops links, not reachability.
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 BUCKETS = 1 << 20
-BLOCK = 256
+#: Members of a block, and blocks that hang on one.
+BLOCK, FAN = 256, 32
 #: DivideSkip's weight of probing against merging.
 MU = 0.01
 
@@ -152,10 +154,13 @@ def prefix_share(n: int, num: int, den: int) -> int:
     return 1 + (n - least_common(n, num, den)) // 2
 
 
-def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: int, den: int, prefixes: bool = False) -> list[tuple[int, int]]:
-    """Links that connect what is connected among these sets; of prefixes, pairs that may link."""
+def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: int, den: int, prefixes: bool = False, asks: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is connected among these sets; of prefixes, pairs that may link. Where some
+    are said to ask, the others are connected already, and only links of those that ask are wanted."""
     order = sorted(range(len(sets)), key=lambda i: (sizes[i], ids[i]))
     sets, ids, sizes = ([x[i] for i in order] for x in (sets, ids, sizes))
+    asks = [asks[i] for i in order] if asks else []
+    some = any(asks)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared_by = n[token] > 1
@@ -172,18 +177,31 @@ def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: in
             i = root[i]
         return i
 
-    links, apart = [], len(sets)
-    for q in range(len(sets) - 1):
+    if some:
+        first = asks.index(False) if not all(asks) else 0
+        for i, a in enumerate(asks):
+            if not a:
+                root[i] = first
+    links, apart = [], len({find(i) for i in range(len(sets))})
+    for q in range(len(sets)):
         if apart == 1:
             break
-        least = (prefix_share if prefixes else least_common)(sizes[q], num, den)  # with one as large or larger
-        mine = [x[bisect.bisect_right(x, q) :] for x in map(lists.__getitem__, tokens[q].tolist())]
+        if some and not asks[q]:
+            continue
+        n = sizes[q]
+        if some:  # with any other: the smaller of the two has as many as they share at least
+            least = prefix_share(least_common(n, num, den), num, den) if prefixes else least_common(n, num, den)
+            mine = [[m for m in x if m != q] for x in map(lists.__getitem__, tokens[q].tolist())]
+        else:  # with one as large or larger
+            least = (prefix_share if prefixes else least_common)(n, num, den)
+            mine = [x[bisect.bisect_right(x, q) :] for x in map(lists.__getitem__, tokens[q].tolist())]
         mine = [x for x in mine if x]
         if len(mine) < least:
             continue
         here = find(q)
         for other, common in divide_skip(mine, least, lambda m: find(m) == here):
-            if sizes[q] * den >= num * sizes[other] if prefixes else common * den >= num * (sizes[q] + sizes[other] - common):
+            small, large = sorted((n, sizes[other]))
+            if small * den >= num * large if prefixes else common * den >= num * (small + large - common):
                 links.append((ids[q], ids[other]))
                 root[find(other)] = here = find(q)
                 apart -= 1
@@ -193,28 +211,62 @@ def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: in
 # ---------------------------------------------------------------- the join
 
 
-def units(lists: DataFrame, key: str, member: str) -> DataFrame:
-    """(members): the sorted members of each list of (key, member) rows, or, where there are more than
-    BLOCK, of each pair of its blocks. Equal ones come once."""
-    n = lists.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    rows = lists.join(n, key).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = (F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = rows.groupBy(key, *both).agg(F.array_sort(F.collect_set(member)).alias("members"))
-    return found.where("size(members) > 1").select("members").distinct()
+def tree_units(rows: DataFrame) -> DataFrame:
+    """(u1, u2, id, ask) of the first search, from (list, id, n). A list is cut into blocks that hang in a
+    tree, and each block is searched together with its parent: as many units as blocks. Equal units
+    come once."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    first, last = F.col("block") * FAN + 1, F.least(F.col("block") * FAN + FAN, F.col("blocks") - 1)
+    children = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("unit", F.explode(F.concat(F.array("block"), children)))
+    found = rows.groupBy("list", "unit").agg(F.array_sort(F.collect_set("id")).alias("members")).where("size(members) > 1").select("members").distinct()
+    return found.select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("id"), F.lit(False).alias("ask"))
+
+
+def rest_units(rows: DataFrame) -> DataFrame:
+    """(u1, u2, id, ask) of the second search, from (list, id, n, ask, asking): blocks of those that ask
+    against all blocks of their list."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("groups", F.ceil(F.col("asking") / BLOCK).cast("int"))
+    pick = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    asking = rows.where("ask").withColumn("g", pick("groups")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = rows.withColumn("b", pick("blocks")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("ask", F.lit(False))
+    both = asking.select("list", "g", "b", "id", "ask").union(asked.select("list", "g", "b", "id", "ask"))
+    return both.select(F.xxhash64("list", "g", "b").alias("u1"), F.hash("list", "g", "b").alias("u2"), "id", "ask")
+
+
+def linked(lists: DataFrame, key: str, member: str, search) -> DataFrame:
+    """(a, b): links that connect what is connected within the lists of (key, member) rows, by search(units).
+
+    After the first search most of a long list of near copies is one component. Links inside it are not
+    needed, so only the members outside it ask again, against the whole list.
+    """
+    sizes = lists.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    rows = shared.stage(lists.join(sizes, key).select(F.col(key).alias("list"), F.col(member).alias("id"), "n"), "lists")
+    edges = shared.stage(search(tree_units(rows)), "links")
+    long = rows.where(F.col("n") > BLOCK)
+    if not long.head(1):
+        return edges
+    named = long.join(shared.components(edges), F.col("id") == F.col("node"), "left").select("list", "id", "n", F.coalesce("component", "id").alias("component"))
+    parts = named.groupBy("list", "component").agg(F.count("*").alias("m"))
+    main = parts.groupBy("list").agg(F.max_by("component", F.struct("m", "component")).alias("main"), (F.sum("m") - F.max("m")).alias("asking"))
+    rest = named.join(main.where("asking > 0"), "list").select("list", "id", "n", "asking", (F.col("component") != F.col("main")).alias("ask"))
+    rest = shared.stage(rest, "rest")
+    return edges.union(search(rest_units(rest))) if rest.head(1) else edges
 
 
 def searched(rows: DataFrame, find) -> DataFrame:
-    """(a, b): what find(ids, sizes, sets) gives for each unit of (u1, u2, id, size, shingles) rows."""
+    """(a, b): what find(ids, sizes, sets, asks) gives for each unit of (u1, u2, id, ask, size, shingles) rows."""
 
     def search(batches):
         for unit in shared.runs(batches, "u1"):
             parts: dict[int, dict] = {}
-            for u2, i, n, raw in zip(*(unit.column(c).to_pylist() for c in ("u2", "id", "size", "shingles"))):
-                parts.setdefault(u2, {})[(i, n, raw)] = np.frombuffer(raw, np.uint64)
+            for u2, i, ask, n, raw in zip(*(unit.column(c).to_pylist() for c in ("u2", "id", "ask", "size", "shingles"))):
+                part = parts.setdefault(u2, {})
+                part[i, n, raw] = part.get((i, n, raw), False) or ask
             for part in parts.values():
-                pairs = find([i for i, _, _ in part], [n for _, n, _ in part], list(part.values())) if len(part) > 1 else []
+                if len(part) < 2:
+                    continue
+                pairs = find([i for i, _, _ in part], [n for _, n, _ in part], [np.frombuffer(raw, np.uint64) for _, _, raw in part], list(part.values()))
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
@@ -225,10 +277,10 @@ def packed(batches):
     """Arrays of longs as bytes."""
     for batch in batches:
         flat = [np.array(x, np.int64).tobytes() for x in batch.column("tokens").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u1", "u2", "id", "size")] + [pa.array(flat, pa.binary())], ["u1", "u2", "id", "size", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u1", "u2", "id", "ask", "size")] + [pa.array(flat, pa.binary())], ["u1", "u2", "id", "ask", "size", "shingles"])
 
 
-UNIT = "u1 long, u2 int, id long, size long, shingles binary"
+UNIT = "u1 long, u2 int, id long, ask boolean, size long, shingles binary"
 
 
 def candidates(signed: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -245,22 +297,19 @@ def candidates(signed: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     useful = shared.stage(useful.select("rep", "n_shingles", F.col("useful.token").alias("tokens"), F.transform(keys, lambda u: u["token"]).alias("keys")), "useful")
     lists = useful.select("rep", F.explode("keys").alias("token"))
     firsts = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("token", "first")
-    found = units(lists.join(firsts, "token").select("first", "rep").distinct(), "first", "rep")
-    found = found.select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("id"))
     kept = useful.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), "tokens")
-    rows = found.join(kept, "id").select("u1", "u2", "id", "size", "tokens").mapInArrow(packed, UNIT)
-    return searched(rows, lambda ids, sizes, sets: unit_links(ids, sizes, sets, num, den, prefixes=True))
+
+    def search(units: DataFrame) -> DataFrame:
+        rows = units.join(kept, "id").select("u1", "u2", "id", "ask", "size", "tokens").mapInArrow(packed, UNIT)
+        return searched(rows, lambda ids, sizes, sets, asks: unit_links(ids, sizes, sets, num, den, True, asks))
+
+    return linked(lists.join(firsts, "token").select("first", "rep").distinct(), "first", "rep", search)
 
 
 def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): links between classes, each named by its smallest doc_id; between classes that link,
     directly or by others, there is a path of these."""
     groups = shared.components(candidates(signed, classes, num, den))
-    found = units(groups, "component", "node").select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("rep"))
-    members = shared.stage(found.groupBy("rep").agg(F.collect_list(F.struct("u1", "u2")).alias("units")), "units")
-    n_units, n_members = members.agg(F.sum(F.size("units")), F.count("*")).first()
-    small = 16 * (n_units or 0) + 32 * n_members <= shared.BROADCAST_BYTES
-    wanted = docs.select("doc_id", "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("rep"))
 
     def ship(batches):
         for batch in batches:
@@ -268,7 +317,7 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: i
             rows, held = [], 0
             for i, s in shingle_sets(batch, k):
                 raw = s.tobytes()
-                rows += [(u["u1"], u["u2"], ids[i], len(s), raw) for u in of[i]]
+                rows += [(u["u1"], u["u2"], ids[i], u["ask"], len(s), raw) for u in of[i]]
                 held += len(raw)
                 if held > 1 << 24:
                     yield _unit_rows(rows)
@@ -276,13 +325,20 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: i
             if rows:
                 yield _unit_rows(rows)
 
-    rows = wanted.select("doc_id", "text", "units").mapInArrow(ship, UNIT)
-    return searched(rows, lambda ids, sizes, sets: unit_links(ids, sizes, sets, num, den))
+    def search(units: DataFrame) -> DataFrame:
+        members = shared.stage(units.groupBy("id").agg(F.collect_list(F.struct("u1", "u2", "ask")).alias("units")), "units")
+        n_units, n_members = members.agg(F.sum(F.size("units")), F.count("*")).first()
+        small = 24 * (n_units or 0) + 32 * n_members <= shared.BROADCAST_BYTES
+        wanted = docs.select("doc_id", "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("id"))
+        rows = wanted.select("doc_id", "text", "units").mapInArrow(ship, UNIT)
+        return searched(rows, lambda ids, sizes, sets, asks: unit_links(ids, sizes, sets, num, den, False, asks))
+
+    return linked(groups, "component", "node", search)
 
 
 def _unit_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["u1", "u2", "id", "size", "shingles"])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["u1", "u2", "id", "ask", "size", "shingles"])
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:

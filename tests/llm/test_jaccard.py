@@ -113,3 +113,19 @@ def test_components(spark):
     out = shared.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(out) == len({r["node"] for r in out})
     assert {r["node"]: r["component"] for r in out} == {i: find(i) for i in root}
+
+
+def test_only_the_rest_of_a_long_list_asks(spark, monkeypatch):
+    """Copies of one text in many blocks, and some that link to a few of them only."""
+    monkeypatch.setattr(J, "BLOCK", 6)
+    monkeypatch.setattr(J, "FAN", 2)
+    rng, base, texts = random.Random(12), [f"w{i}" for i in range(100)], []
+    for i in range(120):
+        text = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 4, 6))):
+            text[rng.randrange(100)] = f"x{rng.randrange(12)}"
+        texts.append(" ".join(text))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for num in (7, 8, 9):
+        assert got(J.jaccard_components(docs, 3, num, 10)) == brute(rows, 3, num, 10)
