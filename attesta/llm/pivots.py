@@ -22,7 +22,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -50,9 +50,10 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where("label is not null and size(embedding) > 0").where(fine & F.exists("embedding", lambda x: x != 0))
+def usable() -> Column:
+    """Whether a row can link with others at all."""
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & whole & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
 def met(vectors: np.ndarray, prefix: np.ndarray, key: int, block: np.ndarray, apart: bool, pivots: int, least: int, cosine: float):
@@ -95,7 +96,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS, prefix: int = PREFIX, least: int = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding, label)."""
     spark = rows.sparkSession
-    fine = usable(rows).select("vec_id", "label", "embedding")
+    fine = rows.where(usable()).select("vec_id", "label", "embedding")
     classes = fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"))
     classes = shared.stage(classes.withColumn("class", F.xxhash64("label", "embedding")), "classes")
     width = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -120,8 +121,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     named = named.join(lowest, "component").select("class", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     # the vectors themselves stay where they are: rows and classes meet by the hash
     good = fine.select(F.col("vec_id"), F.xxhash64("label", "embedding").alias("class")).join(named, "class").select("vec_id", "n_links", "component_id")
-    ok = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    odd = rows.where(~F.coalesce(ok, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    odd = rows.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(odd).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -133,36 +133,37 @@ def _links(classes: DataFrame, chosen: np.ndarray, cosine: float, prefix: int, l
     pivots = len(chosen)
     pairs = list(itertools.combinations(range(prefix), 2)) or [(0, 0)]
 
+    def nearest(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        vectors = unit_rows(column)
+        return vectors, np.argsort(-(vectors @ chosen.T), axis=1, kind="stable")[:, :prefix]
+
     def describe(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.argsort(-(unit_rows(batch.column("embedding")) @ chosen.T), axis=1, kind="stable")[:, :prefix]
+            _, near = nearest(batch.column("embedding"))
             keys = [np.minimum(near[:, a], near[:, b]) * pivots + np.maximum(near[:, a], near[:, b]) for a, b in pairs]
-            keys = np.stack(keys, 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("class", "label", "n", "embedding")), shared.lists(list(near.astype(np.int64)), pa.int64()), shared.lists(list(keys), pa.int64())],
-                ["class", "label", "n", "embedding", "prefix", "keys"],
-            )
-
-    kind = dict(classes.dtypes)
-    schema = f"class long, label {kind['label']}, n long, embedding {kind['embedding']}, prefix array<long>, keys array<long>"
-    told = classes.select("class", "label", "n", "embedding").mapInArrow(describe, schema)
-    told = told.withColumn("key", F.explode("keys")).drop("keys")
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("label"), shared.lists(list(np.stack(keys, 1).astype(np.int64)), pa.int64())], ["class", "label", "keys"])
+
+    # lists and units are told by narrow rows; each vector then goes to its units once
+    told = classes.select("class", "label", "embedding").mapInArrow(describe, f"class long, label {dict(classes.dtypes)['label']}, keys array<long>")
+    told = shared.stage(told.select("class", "label", F.explode("keys").alias("key")), "keys")
     sizes = told.groupBy("label", "key").agg(F.count("*").alias("size")).where("size > 1")
     cut = told.join(sizes, ["label", "key"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("block", "other"), F.greatest("block", "other")
-    cut = cut.withColumn("apart", i != j).withColumn("unit", F.xxhash64("label", "key", i, j))
+    cut = cut.select("class", F.struct(F.xxhash64("label", "key", i, j).alias("unit"), "key", "block", (i != j).alias("apart")).alias("u"))
+    units = cut.groupBy("class").agg(F.collect_list("u").alias("units"))
+    sent = classes.select("class", "label", "n", "embedding").join(units, "class").select("class", "label", "n", "embedding", F.explode("units").alias("u"))
+    sent = sent.select("u.*", "class", "label", "n", "embedding")
 
     def verify(batches):
         for unit in shared.runs(batches, "unit"):
             seen = set(zip(unit.column("label").to_pylist(), unit.column("key").to_pylist()))
             for label, key in seen:  # one, unless hashes of units collide
                 part = unit if len(seen) == 1 else unit.take([r for r, x in enumerate(zip(unit.column("label").to_pylist(), unit.column("key").to_pylist())) if x == (label, key)])
-                near = np.array(part.column("prefix").to_pylist(), np.int64)
-                vectors = unit_rows(part.column("embedding"))
+                vectors, near = nearest(part.column("embedding").combine_chunks())
                 p, q = met(vectors, near, key, part.column("block").to_numpy(), part.column("apart")[0].as_py(), pivots, least, cosine)
                 if not len(p):
                     continue
@@ -172,7 +173,7 @@ def _links(classes: DataFrame, chosen: np.ndarray, cosine: float, prefix: int, l
                 some = links > 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[root][some])], ["class", "links", "root"])
 
-    return cut.select("unit", "label", "key", "block", "apart", "class", "n", "prefix", "embedding").repartition("unit").sortWithinPartitions("unit").mapInArrow(verify, "class long, links long, root long")
+    return sent.repartition("unit").sortWithinPartitions("unit").mapInArrow(verify, "class long, links long, root long")
 
 
 def op10_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
