@@ -16,7 +16,9 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": jaccard.OP2_SQL,
     "op3_curriculum_mix": curriculum.OP3_SQL,
+    "op4_substring_dedup": substrings.OP4_SQL,
     "op8_warc_round_trip": archives.OP8_SQL,
     "op10_pivot_near_dedup": pivots.OP10_SQL,
 }

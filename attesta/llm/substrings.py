@@ -248,6 +248,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM v),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM k WHERE k > 1),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM w),
+kept AS (SELECT x.doc_id, string_agg(x.x, ' ' ORDER BY x.p) AS t FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.p = gone.p GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with their repeats cut out; n_chars, where there is one, follows the text."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
