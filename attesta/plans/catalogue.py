@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
+from ..functions import exact
 from ..operators import analytics, analyze, attribution, dense, lexical, ruler, workbench
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +99,18 @@ def fold_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.fold("text").alias("folded"))
 
 
+@query("SELECT doc_id, nfc_normalize(text) AS nfc, CAST(length(nfc_normalize(text)) AS BIGINT) AS n FROM documents")
+def nfc_text(spark, sf_dir):
+    return longs(table(spark, sf_dir, "documents").select("doc_id", exact.nfc(F.col("text")).alias("nfc")).withColumn("n", F.char_length("nfc")))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS BIGINT) AS n_matches, CAST(coalesce(list_sum([length(m) for m in regexp_extract_all(text, '[A-Z][a-z]+')]), 0) AS BIGINT) AS n_matched FROM documents")
+def match_spans(spark, sf_dir):
+    """Capitalised words by their positions."""
+    spans = table(spark, sf_dir, "documents").select("doc_id", exact.match_spans(F.col("text"), "[A-Z][a-z]+").alias("s"))
+    return longs(spans.select("doc_id", F.size("s").alias("n_matches"), F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_matched")))
+
+
 @query(f"SELECT DISTINCT w AS term, {_stem_sql('w')} AS stem FROM (SELECT unnest({_WORDS.format('text')}) AS w FROM documents)")
 def stem_plural(spark, sf_dir):
     terms = lexical.with_terms(table(spark, sf_dir, "documents"), stemmed=False).select(F.explode("terms").alias("term")).distinct()
@@ -592,9 +605,67 @@ def marker_numbers(spark, sf_dir):
     return rows.select("conv_id", "turn", F.transform(workbench.markers_in(F.col("m")), lambda x: x.cast("long")).alias("numbers"), F.size(workbench.paragraphs_of(F.col("m"))).cast("long").alias("paragraphs"), part["before"].alias("before"), part["inside"].alias("inside"))
 
 
+@query("SELECT source, round(quantile_cont(length(text), 0.5), 6) AS median_length, count(*) AS n FROM documents GROUP BY 1")
+def median_length(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.median(F.char_length("text")), 6).alias("median_length"), F.count("*").alias("n"))
+
+
+@query("""WITH v AS (SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 1 WHEN source = 'src3' THEN 2 END AS view FROM documents) SELECT i.item_id, count(*) FILTER (view = 1) AS own, count(*) FILTER (view = 2) AS other
+FROM benchmark i LEFT JOIN (SELECT b.item_id, v.view FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN v USING (doc_id)) x USING (item_id) GROUP BY 1""")
+def locate_in_view(spark, sf_dir):
+    """Where items stand in a fixture's own documents, and in another that an origin names."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = ruler.located(items, docs, "item_id", "text").select("item_id", "doc_id").distinct().join(docs.select("doc_id", "source"), "doc_id")
+    rows = items.select("item_id").join(found, "item_id", "left")
+    return rows.groupBy("item_id").agg(F.count_if(F.col("source").isin("src1", "src2")).alias("own"), F.count_if(F.col("source") == "src3").alias("other"))
+
+
 # ---------------------------------------------------------------- what SQL cannot state
 
 
+@query()
+def content_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", exact.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query()
+def vector_codec(spark, sf_dir):
+    """Every vector packed to base64 of little-endian floats and back."""
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        from ..sources.providers import pack_vectors, unpack_vectors
+
+        for f in frames:
+            packed = [pack_vectors([v]) for v in f["embedding"]]
+            same = [np.array_equal(np.asarray(unpack_vectors(p, len(v))[0], "<f4"), v) for p, v in zip(packed, f["embedding"])]
+            yield pd.DataFrame({"vec_id": f["vec_id"], "packed": packed, "same": same})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, packed string, same boolean")
+
+
+@query()
+def quote_pieces(spark, sf_dir):
+    """Every tenth of a document's text that follows a gap, cut into the longest pieces that it holds."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.char_length("text")
+    quote = F.concat(F.substring("text", F.lit(1), F.floor(n / 3).cast("int")), F.lit(" [...] "), F.substring("text", F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")))
+    passages = F.array(F.struct(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"), "text"))
+    rows = analytics.quotes_found(docs.select(F.col("doc_id").alias("quote_id"), quote.alias("quote"), passages.alias("passages")))
+    return rows.select("quote_id", "piece", F.size("holders").cast("long").alias("n_holders"))
+
+
+@query()
+def index_search(spark, sf_dir):
+    """The index API over whole tables: chunks with exact terms, asked by every item."""
+    from ..operators import index
+
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = index.create_index(table(spark, sf_dir, "documents")).search_lexical(items, max_per_page=2)
+    return longs(found.select("query_id", "rank", F.round("score", 6).alias("score"), "chunk_id"))
+
+
 @query()
 def masked_regions(spark, sf_dir):
     return analyze.regions(analyze.analyze(table(spark, sf_dir, "documents"), with_tokens=False))
