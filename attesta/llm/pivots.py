@@ -104,7 +104,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     parts = []
     for d in sizes:  # one size but in odd data
         some = classes.where(F.size("embedding") == d)
-        sample = some.orderBy("class").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
+        sample = shared.first_by(some, "class", SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
         chosen = spread(unit_rows(sample), pivots)
         parts.append(_links(some, chosen, cosine, min(prefix, len(chosen)), least))
     found = None

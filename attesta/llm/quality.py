@@ -79,7 +79,7 @@ def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
     """(doc_id, good, fits) of at most so many labelled rows, the first by a hash of doc_id; a doc_id with
     several labels is good if all are. Half of them fit the target model, the others set the cut."""
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
-    first = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    first = shared.first_by(rows.withColumn("hash", F.xxhash64("doc_id")), "hash", most, "doc_id").drop("hash")
     return first.withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0)
 
 

@@ -75,3 +75,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert Q.resampled(odd_docs, some).count() == odd_docs.count()
     assert Q.resampled(no_docs, some).count() == 0
     assert Q.good_documents(spark, odd_docs, none).columns == odd_docs.columns
+
+
+def test_sample_is_the_first_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    want = {r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id")).limit(500).collect()}
+    assert {r["doc_id"] for r in Q.labelled_sample(labels, 500).collect()} == want
