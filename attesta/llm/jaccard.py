@@ -344,6 +344,7 @@ def _unit_rows(rows: list[tuple]) -> pa.RecordBatch:
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of each row: the size of its shingle set, the
     smallest doc_id with the same set and the smallest reachable by links."""
+    shared.small_batches(docs.sparkSession)
     signed = shared.stage(signatures(docs, k, num, den, frequent_buckets(docs, k)), "signatures")
     # a table of its own, so that a class of very many copies can be split where it is joined
     classes = shared.stage(signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")

@@ -175,6 +175,7 @@ def kth_greatest(rows: DataFrame, column: str, k: int, width: int = 4096) -> flo
 
 def resampled(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, kept) of each row."""
+    shared.small_batches(docs.sparkSession)
     models = fit(docs, labels, most)
     rows = shared.stage(weighed(docs, models).withColumn("gumbel_key", F.col("log_weight") + F.coalesce(gumbel(), F.lit(0.0))), "weights")
     k = rows.where(F.col("log_weight") > models.cut).count() if models.ratio is not None else 0

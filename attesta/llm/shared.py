@@ -7,6 +7,8 @@ same as the runs of ``[^\\x20\\x09-\\x0D]+`` of its code points.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -22,6 +24,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
 
 
+def _give_back() -> None:
+    """Has the allocator return arrays of eight megabytes or more when they are freed, and free memory
+    at the end of the heap. Python workers live on between tasks and would keep what the largest needed."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        ctypes.CDLL(None).mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_back()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, a
     temporary folder in local mode and the warehouse on a cluster."""
@@ -58,9 +72,13 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few enough rows for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of documents; from here on Arrow batches have few enough rows for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -129,6 +129,7 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, repeats array<struct<start, end>>, kept_text) of each row: the maximal runs of
     words that go, and the text without them. Columns to carry come with them, as one struct `carried`."""
+    shared.small_batches(docs.sparkSession)
     same = F.col("doc_id") == F.col("id")
     more = [F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")] if carry else []
     extra = ["carried"] if carry else []
