@@ -64,7 +64,9 @@ def fold_table() -> tuple[str, str]:
 def fold(text: Column | str) -> Column:
     """The key of words without a Python worker; `segments.fold` defines it."""
     source, target = fold_table()
-    return F.regexp_replace(F.translate(F.lower(col(text)), source, target), r"\p{M}", "")
+    text = col(text)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.regexp_replace(F.translate(F.lower(text), source, target), r"\p{M}", ""))
 
 
 def class_words(text: Column | str) -> Column:

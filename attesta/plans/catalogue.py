@@ -16,6 +16,7 @@ from ..functions import columns as C
 from ..functions import constants as K
 from ..functions import exact
 from ..operators import analytics, analyze, attribution, dense, lexical, ruler, workbench
+from ..sources.corpus import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +34,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "conversations") else rows
 
 
 def longs(df: DataFrame) -> DataFrame:

@@ -26,6 +26,13 @@ RECORDING = (
 LABEL = "id string, parts array<struct<text:string>>, segments array<struct<partIndex:int,textSpan:struct<start:int,end:int>,sourceSpans:array<struct<documentId:string,span:struct<start:int,end:int>>>>>, labeledBy string, labeledAt string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer splits than there are cores, dealt over all of them: a small file is one
+    row group, which one core would read and work on alone. Large tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def text_directory(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of every .txt of a folder, the id being the name without its ending."""
     rows = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
