@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import spread
+
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
 
@@ -79,7 +81,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: Bytes of one side of a join up to which it is broadcast; beyond it both sides are shuffled.
