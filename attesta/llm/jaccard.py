@@ -87,6 +87,10 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np.n
         weight = np.where(buckets[at] == b, counts[at], 0)
         return s[np.lexsort((s, weight))[:n]]
 
+    def short(s: np.ndarray) -> np.ndarray:
+        """Prefixes only find candidates: 48 bits of a hash will do, and what shuffles is a quarter less."""
+        return np.unique(s >> np.uint64(16)).astype(np.int64)
+
     def sign(batches):
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
@@ -95,7 +99,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np.n
             for i, s in shingle_sets(batch, k):
                 n[i] = len(s)
                 d[i] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                prefix[i] = rare_first(s, len(s) - least_common(len(s), num, den) + prefix_share(len(s), num, den)).astype(np.int64)
+                prefix[i] = short(rare_first(s, len(s) - least_common(len(s), num, den) + prefix_share(len(s), num, den)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), shared.lists(prefix, pa.int64())],
                 ["doc_id", "n_shingles", "d1", "d2", "prefix"],
@@ -286,9 +290,10 @@ UNIT = "u1 long, u2 int, id long, ask boolean, size long, shingles binary"
 def candidates(signed: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): pairs of classes that share enough of their prefixes, or a path of these."""
     reps = signed.join(classes, ["d1", "d2"]).where("doc_id = class_id").withColumnRenamed("class_id", "rep")
-    postings = reps.select("rep", "n_shingles", F.explode("prefix").alias("token"))
+    postings = reps.select("rep", F.explode("prefix").alias("token"))
     common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    useful = postings.join(common, "token").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("useful"))
+    useful = postings.join(common, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("useful"))
+    useful = useful.join(reps.select("rep", "n_shingles"), "rep")
     # partners share this many of what is left; so they share one of the rarest but for those
     own = f"({num} * n_shingles + {den - 1}) div {den}"
     least = F.expr(f"cast(1 + (({own}) - ({num} * ({own}) + {den - 1}) div {den}) div 2 as int)")
