@@ -43,6 +43,9 @@ BUCKETS = 1 << 20
 BLOCK, FAN = 256, 32
 #: DivideSkip's weight of probing against merging.
 MU = 0.01
+#: What a member is to a unit: one of all that are compared; one that asks; in the list's main component;
+#: outside it, but asking in another unit.
+PLAIN, ASKS, MAIN, OTHER = range(4)
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -158,13 +161,13 @@ def prefix_share(n: int, num: int, den: int) -> int:
     return 1 + (n - least_common(n, num, den)) // 2
 
 
-def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: int, den: int, prefixes: bool = False, asks: list[bool] | None = None) -> list[tuple[int, int]]:
+def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: int, den: int, prefixes: bool = False, roles: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect what is connected among these sets; of prefixes, pairs that may link. Where some
-    are said to ask, the others are connected already, and only links of those that ask are wanted."""
+    ask, only their links are wanted, and those in the main component are connected already."""
     order = sorted(range(len(sets)), key=lambda i: (sizes[i], ids[i]))
     sets, ids, sizes = ([x[i] for i in order] for x in (sets, ids, sizes))
-    asks = [asks[i] for i in order] if asks else []
-    some = any(asks)
+    roles = [roles[i] for i in order] if roles else [PLAIN] * len(sets)
+    some = ASKS in roles
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared_by = n[token] > 1
@@ -181,16 +184,14 @@ def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: in
             i = root[i]
         return i
 
-    if some:
-        first = asks.index(False) if not all(asks) else 0
-        for i, a in enumerate(asks):
-            if not a:
-                root[i] = first
+    main = [i for i, r in enumerate(roles) if r == MAIN]
+    for i in main:
+        root[i] = main[0]
     links, apart = [], len({find(i) for i in range(len(sets))})
     for q in range(len(sets)):
         if apart == 1:
             break
-        if some and not asks[q]:
+        if some and roles[q] != ASKS:
             continue
         n = sizes[q]
         if some:  # with any other: the smaller of the two has as many as they share at least
@@ -216,7 +217,7 @@ def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: in
 
 
 def tree_units(rows: DataFrame) -> DataFrame:
-    """(u1, u2, id, ask) of the first search, from (list, id, n). A list is cut into blocks that hang in a
+    """(u1, u2, id, role) of the first search, from (list, id, n). A list is cut into blocks that hang in a
     tree, and each block is searched together with its parent: as many units as blocks. Equal units
     come once."""
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -224,18 +225,19 @@ def tree_units(rows: DataFrame) -> DataFrame:
     children = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("unit", F.explode(F.concat(F.array("block"), children)))
     found = rows.groupBy("list", "unit").agg(F.array_sort(F.collect_set("id")).alias("members")).where("size(members) > 1").select("members").distinct()
-    return found.select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("id"), F.lit(False).alias("ask"))
+    return found.select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("id"), F.lit(PLAIN).alias("role"))
 
 
 def rest_units(rows: DataFrame) -> DataFrame:
-    """(u1, u2, id, ask) of the second search, from (list, id, n, ask, asking): blocks of those that ask
+    """(u1, u2, id, role) of the second search, from (list, id, n, ask, asking): blocks of those that ask
     against all blocks of their list."""
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("groups", F.ceil(F.col("asking") / BLOCK).cast("int"))
     pick = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     asking = rows.where("ask").withColumn("g", pick("groups")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = rows.withColumn("b", pick("blocks")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("ask", F.lit(False))
-    both = asking.select("list", "g", "b", "id", "ask").union(asked.select("list", "g", "b", "id", "ask"))
-    return both.select(F.xxhash64("list", "g", "b").alias("u1"), F.hash("list", "g", "b").alias("u2"), "id", "ask")
+    asked = rows.withColumn("b", pick("blocks")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    role = F.when(F.col("ask"), OTHER).otherwise(MAIN)
+    both = asking.select("list", "g", "b", "id", F.lit(ASKS).alias("role")).union(asked.select("list", "g", "b", "id", role.alias("role")))
+    return both.select(F.xxhash64("list", "g", "b").alias("u1"), F.hash("list", "g", "b").alias("u2"), "id", "role")
 
 
 def linked(lists: DataFrame, key: str, member: str, search) -> DataFrame:
@@ -259,14 +261,14 @@ def linked(lists: DataFrame, key: str, member: str, search) -> DataFrame:
 
 
 def searched(rows: DataFrame, find) -> DataFrame:
-    """(a, b): what find(ids, sizes, sets, asks) gives for each unit of (u1, u2, id, ask, size, shingles) rows."""
+    """(a, b): what find(ids, sizes, sets, roles) gives for each unit of (u1, u2, id, role, size, shingles) rows."""
 
     def search(batches):
         for unit in shared.runs(batches, "u1"):
             parts: dict[int, dict] = {}
-            for u2, i, ask, n, raw in zip(*(unit.column(c).to_pylist() for c in ("u2", "id", "ask", "size", "shingles"))):
+            for u2, i, role, n, raw in zip(*(unit.column(c).to_pylist() for c in ("u2", "id", "role", "size", "shingles"))):
                 part = parts.setdefault(u2, {})
-                part[i, n, raw] = part.get((i, n, raw), False) or ask
+                part[i, n, raw] = min(part.get((i, n, raw), role), role)  # who asks may be asked too
             for part in parts.values():
                 if len(part) < 2:
                     continue
@@ -281,10 +283,10 @@ def packed(batches):
     """Arrays of longs as bytes."""
     for batch in batches:
         flat = [np.array(x, np.int64).tobytes() for x in batch.column("tokens").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u1", "u2", "id", "ask", "size")] + [pa.array(flat, pa.binary())], ["u1", "u2", "id", "ask", "size", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u1", "u2", "id", "role", "size")] + [pa.array(flat, pa.binary())], ["u1", "u2", "id", "role", "size", "shingles"])
 
 
-UNIT = "u1 long, u2 int, id long, ask boolean, size long, shingles binary"
+UNIT = "u1 long, u2 int, id long, role int, size long, shingles binary"
 
 
 def candidates(signed: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -305,8 +307,8 @@ def candidates(signed: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     kept = useful.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), "tokens")
 
     def search(units: DataFrame) -> DataFrame:
-        rows = units.join(kept, "id").select("u1", "u2", "id", "ask", "size", "tokens").mapInArrow(packed, UNIT)
-        return searched(rows, lambda ids, sizes, sets, asks: unit_links(ids, sizes, sets, num, den, True, asks))
+        rows = units.join(kept, "id").select("u1", "u2", "id", "role", "size", "tokens").mapInArrow(packed, UNIT)
+        return searched(rows, lambda ids, sizes, sets, roles: unit_links(ids, sizes, sets, num, den, True, roles))
 
     return linked(lists.join(firsts, "token").select("first", "rep").distinct(), "first", "rep", search)
 
@@ -322,7 +324,7 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: i
             rows, held = [], 0
             for i, s in shingle_sets(batch, k):
                 raw = s.tobytes()
-                rows += [(u["u1"], u["u2"], ids[i], u["ask"], len(s), raw) for u in of[i]]
+                rows += [(u["u1"], u["u2"], ids[i], u["role"], len(s), raw) for u in of[i]]
                 held += len(raw)
                 if held > 1 << 24:
                     yield _unit_rows(rows)
@@ -331,19 +333,19 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: i
                 yield _unit_rows(rows)
 
     def search(units: DataFrame) -> DataFrame:
-        members = shared.stage(units.groupBy("id").agg(F.collect_list(F.struct("u1", "u2", "ask")).alias("units")), "units")
+        members = shared.stage(units.groupBy("id").agg(F.collect_list(F.struct("u1", "u2", "role")).alias("units")), "units")
         n_units, n_members = members.agg(F.sum(F.size("units")), F.count("*")).first()
         small = 24 * (n_units or 0) + 32 * n_members <= shared.BROADCAST_BYTES
         wanted = docs.select("doc_id", "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("id"))
         rows = wanted.select("doc_id", "text", "units").mapInArrow(ship, UNIT)
-        return searched(rows, lambda ids, sizes, sets, asks: unit_links(ids, sizes, sets, num, den, False, asks))
+        return searched(rows, lambda ids, sizes, sets, roles: unit_links(ids, sizes, sets, num, den, False, roles))
 
     return linked(groups, "component", "node", search)
 
 
 def _unit_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["u1", "u2", "id", "ask", "size", "shingles"])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["u1", "u2", "id", "role", "size", "shingles"])
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:

