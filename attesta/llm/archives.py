@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
             for at in range(0, len(out), RECORDS_PER_FILE):
                 yield pa.RecordBatch.from_arrays([pa.array(out[at : at + RECORDS_PER_FILE], pa.binary())], ["record"])
 
-    records = rows.select("page_id", "url", "payload", "digest", "keeper", "kept_url").mapInArrow(write, "record binary")
+    records = rows.select("page_id", "url", "payload", "digest", "keeper", "kept_url").mapInArrow(shared.lean(write), "record binary")
     text = records.select(F.col("record").cast("string").alias("value"))
     text.write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, compression="gzip")
 
@@ -162,7 +162,7 @@ def archive_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _record_rows(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(shared.lean(parse), RECORD)
 
 
 def _record_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -234,9 +234,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for table in shared.runs(batches, "origin_id"):
             yield _page_rows(list(assembled(table.to_pylist())))
 
-    alone = records.where("origin_id is null and record_type in ('response', 'revisit')").mapInArrow(whole, PAGE)
+    alone = records.where("origin_id is null and record_type in ('response', 'revisit')").mapInArrow(shared.lean(whole), PAGE)
     cut = records.where("origin_id is not null").repartition("origin_id").sortWithinPartitions("origin_id", "number")
-    return alone.union(cut.mapInArrow(join, PAGE))
+    return alone.union(cut.mapInArrow(shared.lean(join), PAGE))
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

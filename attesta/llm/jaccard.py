@@ -72,7 +72,7 @@ def frequent_buckets(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 total += np.bincount((np.concatenate(kept) >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
         yield shared.vector_rows(total)
 
-    total = shared.summed_vector(docs.select("text").mapInArrow(count, "piece int, counts binary"), BUCKETS)
+    total = shared.summed_vector(docs.select("text").mapInArrow(shared.lean(count), "piece int, counts binary"), BUCKETS)
     mean = total.mean()
     found = np.flatnonzero(total > mean + 64 + 6 * math.sqrt(mean))
     return found.astype(np.uint64), total[found]
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np.n
                 ["doc_id", "n_shingles", "d1", "d2", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(shared.lean(sign), "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
 
 
 # ---------------------------------------------------------------- search in a unit
@@ -276,7 +276,7 @@ def searched(rows: DataFrame, find) -> DataFrame:
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
-    return rows.repartition("u1").sortWithinPartitions("u1").mapInArrow(search, "a long, b long")
+    return rows.repartition("u1").sortWithinPartitions("u1").mapInArrow(shared.lean(search), "a long, b long")
 
 
 def packed(batches):
@@ -307,7 +307,7 @@ def candidates(signed: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     kept = useful.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), "tokens")
 
     def search(units: DataFrame) -> DataFrame:
-        rows = units.join(kept, "id").select("u1", "u2", "id", "role", "size", "tokens").mapInArrow(packed, UNIT)
+        rows = units.join(kept, "id").select("u1", "u2", "id", "role", "size", "tokens").mapInArrow(shared.lean(packed), UNIT)
         return searched(rows, lambda ids, sizes, sets, roles: unit_links(ids, sizes, sets, num, den, True, roles))
 
     return linked(lists.join(firsts, "token").select("first", "rep").distinct(), "first", "rep", search)
@@ -337,7 +337,7 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: i
         n_units, n_members = members.agg(F.sum(F.size("units")), F.count("*")).first()
         small = 24 * (n_units or 0) + 32 * n_members <= shared.BROADCAST_BYTES
         wanted = docs.select("doc_id", "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("id"))
-        rows = wanted.select("doc_id", "text", "units").mapInArrow(ship, UNIT)
+        rows = wanted.select("doc_id", "text", "units").mapInArrow(shared.lean(ship), UNIT)
         return searched(rows, lambda ids, sizes, sets, roles: unit_links(ids, sizes, sets, num, den, False, roles))
 
     return linked(groups, "component", "node", search)

@@ -119,7 +119,7 @@ def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         for lang, x in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(x)), "dim": pa.array(range(len(x)), pa.int32()), "x": pa.array(x)})
 
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text").mapInArrow(bundle, "lang string, dim int, x long")
+    rows = labelled.where("text is not null and lang is not null").select("lang", "text").mapInArrow(shared.lean(bundle), "lang string, dim int, x long")
     found = rows.groupBy("lang", "dim").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
     learned = {r["lang"]: np.array([d["x"] for d in r["v"]], np.float64) for r in found.collect()}  # a vector for each language
     learned = {k: v[:-1] / np.linalg.norm(v[:-1]) for k, v in learned.items() if v[:-1].any()}
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: tuple[
                 scores += np.where(known, np.clip(cosines.max(1).astype(np.float64), 0, 1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, "text").mapInArrow(predict, f"{kind}, lang_pred string, score double")
+    return docs.select(*keep, "text").mapInArrow(shared.lean(predict), f"{kind}, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

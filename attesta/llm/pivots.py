@@ -146,7 +146,7 @@ def _links(classes: DataFrame, chosen: np.ndarray, cosine: float, prefix: int, l
             yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("label"), shared.lists(list(np.stack(keys, 1).astype(np.int64)), pa.int64())], ["class", "label", "keys"])
 
     # lists and units are told by narrow rows; each vector then goes to its units once
-    told = classes.select("class", "label", "embedding").mapInArrow(describe, f"class long, label {dict(classes.dtypes)['label']}, keys array<long>")
+    told = classes.select("class", "label", "embedding").mapInArrow(shared.lean(describe), f"class long, label {dict(classes.dtypes)['label']}, keys array<long>")
     told = shared.stage(told.select("class", "label", F.explode("keys").alias("key")), "keys")
     sizes = told.groupBy("label", "key").agg(F.count("*").alias("size")).where("size > 1")
     cut = told.join(sizes, ["label", "key"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -173,7 +173,7 @@ def _links(classes: DataFrame, chosen: np.ndarray, cosine: float, prefix: int, l
                 some = links > 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[root][some])], ["class", "links", "root"])
 
-    return sent.repartition("unit").sortWithinPartitions("unit").mapInArrow(verify, "class long, links long, root long")
+    return sent.repartition("unit").sortWithinPartitions("unit").mapInArrow(shared.lean(verify), "class long, links long, root long")
 
 
 def op10_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

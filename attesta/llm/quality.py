@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Models:
                 total[BUCKETS:] += np.bincount(buckets[good[a:b][row]], minlength=BUCKETS)
         yield shared.vector_rows(total)
 
-    total = shared.summed_vector(marked.mapInArrow(count, "piece int, counts binary"), 2 * BUCKETS)
+    total = shared.summed_vector(marked.mapInArrow(shared.lean(count), "piece int, counts binary"), 2 * BUCKETS)
     raw, target = total[:BUCKETS].astype(np.float64), total[BUCKETS:].astype(np.float64)
     if not target.any():
         return Models(None, -math.inf)
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Models:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(summed(batch, ratio))], ["good", "weight"])
 
-    rows = marked.where("not fits").mapInArrow(score, "good boolean, weight double").collect()  # at most `most`, and repeated rows
+    rows = marked.where("not fits").mapInArrow(shared.lean(score), "good boolean, weight double").collect()  # at most `most`, and repeated rows
     weight, good = np.array([r["weight"] for r in rows]), np.array([r["good"] for r in rows], bool)
     if good.all() or not good.any():
         return Models(None, -math.inf)
@@ -144,7 +144,7 @@ def weighed(docs: DataFrame, models: Models) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(summed(batch, ratio))], ["doc_id", "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(weigh, "doc_id long, log_weight double")
+    return docs.select("doc_id", "text").mapInArrow(shared.lean(weigh), "doc_id long, log_weight double")
 
 
 def gumbel(seed: int = 9) -> Column:

@@ -123,7 +123,7 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
             if d:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, d, p)], ["anchor", "doc_id", "place"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(seeds, "anchor long, doc_id long, place int")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(shared.lean(seeds), "anchor long, doc_id long, place int")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -181,9 +181,9 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry:
 
     digests = "one long, two int, doc_id long, place int"
     # no filter or selection stands between the texts and their uses: all of them read the one exchange
-    seeds = told.mapInArrow(emit(blocks, "single"), digests)
+    seeds = told.mapInArrow(shared.lean(emit(blocks, "single")), digests)
     told = told.join(firsts(seeds, "blocks"), same, "left").drop("id")
-    extended = told.mapInArrow(emit(windows, "single", "blocks"), digests)
+    extended = told.mapInArrow(shared.lean(emit(windows, "single", "blocks")), digests)
     final = told.join(firsts(extended, "earliest"), same, "left").drop("id")
 
     def cut(batches):
@@ -217,7 +217,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry:
             )
 
     kind = "".join(f", {c} {final.schema[c].dataType.simpleString()}" for c in extra)
-    return final.mapInArrow(cut, f"doc_id long, n_words long, repeats array<struct<start:int,end:int>>, kept_text string{kind}")
+    return final.mapInArrow(shared.lean(cut), f"doc_id long, n_words long, repeats array<struct<start:int,end:int>>, kept_text string{kind}")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

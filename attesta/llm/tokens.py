@@ -55,7 +55,7 @@ def encoded_lengths(docs: DataFrame, ranks: bytes, keep: tuple[str, ...] = ()) -
             counts = [None if t is None else _length(bpe, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64())], [*keep, "n_tokens"])
 
-    return docs.select(*keep, "text").mapInArrow(encode, ", ".join(x for x in (kind, "n_tokens long") if x))
+    return docs.select(*keep, "text").mapInArrow(shared.lean(encode), ", ".join(x for x in (kind, "n_tokens long") if x))
 
 
 def _length(bpe, text: str) -> int:
