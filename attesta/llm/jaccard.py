@@ -9,8 +9,8 @@ Two texts link when |A & B| * den >= num * |A | B| for their sets of k-word shin
    no comparison.
 3. A shingle in the prefixes of two classes or more is a list. Classes of fewer lists than partners
    share are out, and of the others only the shortest lists are needed. Those with the same first class are
-   searched together; long ones are cut into blocks by a hash that hang in a tree, and each block is
-   searched with its parent. That joins near copies of one text; only members of a long list that
+   searched together; long ones are cut into blocks by a hash and searched by pairs of blocks, very
+   long ones into blocks that hang in a tree, each searched with its parent. That joins near copies of one text; only members of a long list that
    are still outside its main component are then held against all its blocks. The search gives
    candidates, and their components are the lists of a second search, over whole sets.
 4. In a unit, each class asks for those that share T of its shingles: the short lists are merged by
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 BUCKETS = 1 << 20
-#: Members of a block, and blocks that hang on one.
-BLOCK, FAN = 256, 32
+#: Members of a block; blocks of a list up to which all pairs of them are units; blocks that hang on one.
+BLOCK, PAIRS, FAN = 256, 16, 32
 #: DivideSkip's weight of probing against merging.
 MU = 0.01
 #: What a member is to a unit: one of all that are compared; one that asks; in the list's main component;
@@ -217,13 +217,14 @@ def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: in
 
 
 def tree_units(rows: DataFrame) -> DataFrame:
-    """(u1, u2, id, role) of the first search, from (list, id, n). A list is cut into blocks that hang in a
-    tree, and each block is searched together with its parent: as many units as blocks. Equal units
-    come once."""
+    """(u1, u2, id, role) of the first search, from (list, id, n). A list is cut into blocks. Each pair of
+    a few blocks is a unit; more blocks hang in a tree, and each is searched together with its parent:
+    as many units as blocks. Equal units come once."""
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    with_all = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
     first, last = F.col("block") * FAN + 1, F.least(F.col("block") * FAN + FAN, F.col("blocks") - 1)
     children = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("unit", F.explode(F.concat(F.array("block"), children)))
+    rows = rows.withColumn("unit", F.explode(F.when(F.col("blocks") <= PAIRS, with_all).otherwise(F.concat(F.array("block"), children))))
     found = rows.groupBy("list", "unit").agg(F.array_sort(F.collect_set("id")).alias("members")).where("size(members) > 1").select("members").distinct()
     return found.select(F.xxhash64("members").alias("u1"), F.hash("members").alias("u2"), F.explode("members").alias("id"), F.lit(PLAIN).alias("role"))
 
@@ -249,7 +250,7 @@ def linked(lists: DataFrame, key: str, member: str, search) -> DataFrame:
     sizes = lists.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
     rows = shared.stage(lists.join(sizes, key).select(F.col(key).alias("list"), F.col(member).alias("id"), "n"), "lists")
     edges = shared.stage(search(tree_units(rows)), "links")
-    long = rows.where(F.col("n") > BLOCK)
+    long = rows.where(F.col("n") > BLOCK * PAIRS)
     if not long.head(1):
         return edges
     named = long.join(shared.components(edges), F.col("id") == F.col("node"), "left").select("list", "id", "n", F.coalesce("component", "id").alias("component"))

@@ -119,6 +119,7 @@ def test_only_the_rest_of_a_long_list_asks(spark, monkeypatch):
     """Copies of one text in many blocks, and some that link to a few of them only."""
     monkeypatch.setattr(J, "BLOCK", 6)
     monkeypatch.setattr(J, "FAN", 2)
+    monkeypatch.setattr(J, "PAIRS", 1)
     rng, base, texts = random.Random(12), [f"w{i}" for i in range(100)], []
     for i in range(120):
         text = list(base)
