@@ -3,8 +3,8 @@
 Numbers, names and units become typed placeholders, the rest is lower-cased, and what stands between
 letters, digits and placeholders splits tokens. Windows of `width` tokens of the templates of
 documents and items meet in a hash join; items shorter than that are one window. A document holds an
-item if on one alignment `share` of the item's windows match. What stands in the slots must then be
-consistent: over the alignment equal values of the item have equal values in the document and unequal
+item if on one alignment `share` of the item's windows match. What stands in the slots that matched
+windows cover must then be consistent: over the alignment equal values of the item have equal values in the document and unequal
 ones unequal, so a question with its numbers or names changed throughout is caught, and prose that
 merely has the same shape is not.
 
@@ -78,17 +78,18 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     each = F.flatten(F.array(*[windows(F.col("hashes"), w) for w in (widths or [width])]))
     found = hashed.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.hash", "w.at", "w.width")
     found = found.join(F.broadcast(keys) if small else keys, ["width", "hash"])
-    found = found.groupBy("doc_id", "item_id", "n_windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.countDistinct("place").alias("n_matched"))
+    found = found.groupBy("doc_id", "item_id", "n_windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("matched")).withColumn("n_matched", F.size("matched").cast("long"))
     found = shared.stage(found.where(F.col("n_matched") >= F.col("n_windows") * F.lit(share)), "matches")
-    slots = wanted.where("size(slots) > 0").select("item_id", "slots").dropDuplicates(["item_id"])
-    plain = found.join(slots.select("item_id"), "item_id", "left_anti").withColumn("n_slots", F.lit(0).cast("long"))
+    slots = wanted.where("size(slots) > 0").select("item_id", F.col("width").alias("size"), "slots").dropDuplicates(["item_id"])
+    plain = found.join(slots.select("item_id"), "item_id", "left_anti").drop("matched").withColumn("n_slots", F.lit(0).cast("long"))
     slotted = found.join(slots, "item_id")
     n_slotted = slotted.count()
     if n_slotted:
-        slotted = slotted.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_windows", "shift", "n_matched", "slots")).alias("found"))
+        slotted = slotted.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_windows", "shift", "n_matched", "matched", "size", "slots")).alias("found"))
         values = docs.select("doc_id", "text").join(F.broadcast(slotted) if n_slotted * 4096 <= BROADCAST_BYTES else slotted, "doc_id")
         values = values.select("doc_id", F.explode("found").alias("f"), tokens(marked(F.col("text"))).alias("v"))
-        aligned = F.transform("f.slots", lambda s: F.struct(s["value"].alias("mine"), F.get("v", s["place"] + F.col("f.shift") - 1).alias("theirs")))
+        covered = F.filter("f.slots", lambda s: F.exists("f.matched", lambda p: s["place"].between(p, p + F.col("f.size") - 1)))
+        aligned = F.transform(covered, lambda s: F.struct(s["value"].alias("mine"), F.get("v", s["place"] + F.col("f.shift") - 1).alias("theirs")))
         aligned = F.filter(aligned, lambda p: p["theirs"].isNotNull())
         same = F.size(F.array_distinct(aligned))
         one_to_one = (F.size(F.array_distinct(F.transform(aligned, lambda p: p["mine"]))) == same) & (F.size(F.array_distinct(F.transform(aligned, lambda p: p["theirs"]))) == same)

@@ -36,6 +36,14 @@ def test_share_of_windows(spark):
     assert found(spark, " ".join(words[:20]), " ".join(words[:14]), item.upper(), item.replace(" ", " - "), item=item) == [0, 2, 3]
 
 
+def test_slots_outside_matched_windows(spark):
+    """The document holds the first twenty tokens; `Smith` comes again where it goes on with other text."""
+    words = [f"w{i}" for i in range(30)]
+    words[11] = words[22] = "Smith"
+    other = [f"x{i}" for i in range(10)]
+    assert found(spark, " ".join(words[:20] + other), " ".join(words[:14] + other), item=" ".join(words)) == [0]
+
+
 def test_short_items(spark):
     assert found(spark, "say one two three four now", "one two three", "one two three four", item="One two three, four!") == [0, 2]
 
