@@ -2,11 +2,13 @@
 
 Numbers, names and units become typed placeholders, the rest is lower-cased, and what stands between
 letters, digits and placeholders splits tokens. Windows of `width` tokens of the templates of
-documents and items meet in a hash join; items shorter than that are one window. A document holds an
-item if on one alignment `share` of the item's windows match. What stands in the slots that matched
-windows cover must then be consistent: over the alignment equal values of the item have equal values in the document and unequal
-ones unequal, so a question with its numbers or names changed throughout is caught, and prose that
-merely has the same shape is not.
+documents and items meet in a hash join; items shorter than that are one window. Matched windows are
+chained in the order of both texts, from one to the next at most SLACK tokens inserted or deleted. A
+document holds an item if a chain has `share` of the item's windows. What stands in the slots that
+the chain's windows cover must then be consistent: equal values of the item have equal values in the
+document and unequal ones unequal, so a question with its numbers or names changed throughout is
+caught, and prose that merely has the same shape is not. Adjacent names that face another number of
+names are compared as one value.
 
 A number is digits with . or , between them; a unit is one of UNITS after a number; a name is a
 capitalised word after a lower-case letter, comma or semicolon and a space. Windows of which more than
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-WIDTH, SHARE = 8, 0.5
+WIDTH, SHARE, SLACK = 8, 0.5, 8
 #: Bytes of benchmark windows, and of documents to verify, up to which they are broadcast; beyond it
 #: they are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -62,10 +64,84 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     rows = rows.withColumn("hashes", F.transform("shape", lambda t: F.xxhash64(t)))
     slot = lambda t: t.isin(NAME, NUMBER, UNIT)
     rows = rows.withColumn("places", F.filter(F.sequence(F.lit(1), F.size("shape") - F.col("width") + 1), lambda i: F.size(F.filter(F.slice("shape", i, F.col("width")), slot)) * 2 <= F.col("width")))
-    at = F.filter(F.sequence(F.lit(1), F.size("shape")), lambda i: slot(F.get("shape", i - 1)))
-    rows = rows.withColumn("slots", F.transform(at, lambda i: F.struct(i.alias("place"), F.get("values", i - 1).alias("value"))))
-    rows = rows.select("item_id", "width", "slots", F.size("places").cast("long").alias("n_windows"), "hashes", F.explode("places").alias("place"))
-    return rows.select("item_id", "width", "slots", "n_windows", "place", F.xxhash64(F.slice("hashes", F.col("place"), F.col("width"))).alias("hash"))
+    rows = rows.withColumn("slots", slots_of(F.col("values"), F.col("shape")))
+    rows = rows.select("item_id", "width", F.size("shape").alias("length"), "slots", F.size("places").cast("long").alias("n_windows"), "hashes", F.explode("places").alias("place"))
+    return rows.select("item_id", "width", "length", "slots", "n_windows", "place", F.xxhash64(F.slice("hashes", F.col("place"), F.col("width"))).alias("hash"))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def name_marks(shape: Column) -> Column:
+    """A letter a token: n if it is a name."""
+    return F.array_join(F.transform(shape, lambda t: F.when(t == NAME, "n").otherwise(".")), "")
+
+
+def name_run(marks: Column, at: Column) -> Column:
+    """(start, length) of the adjacent names around a token, or of the token alone."""
+    start = F.least(F.length(F.rtrim(F.substring(marks, F.lit(1), at), F.lit("n"))) + 1, at)
+    rest = F.substring(marks, at, F.length(marks))
+    stop = F.greatest(at + F.length(rest) - F.length(F.ltrim(rest, F.lit("n"))), at + 1)
+    return F.struct(start.alias("start"), (stop - start).alias("length"))
+
+
+def joined(values: Column, run: Column) -> Column:
+    return F.array_join(F.slice(values, run["start"], run["length"]), " ")
+
+
+def slots_of(values: Column, shape: Column) -> Column:
+    """(place, value, run, names) of each slot: run is where the adjacent names lie, names what they are."""
+    at = F.filter(F.sequence(F.lit(1), F.size(shape)), lambda i: F.get(shape, i - 1).isin(NAME, NUMBER, UNIT))
+    one = lambda i, run: F.struct(i.alias("place"), F.get(values, i - 1).alias("value"), run.alias("run"), joined(values, run).alias("names"))
+    return let(name_marks(shape), lambda m: F.transform(at, lambda i: let(name_run(m, i), lambda run: one(i, run))))
+
+
+def runs(shift: Column, places: Column) -> Column:
+    """(end, last, first, shift) of the runs of adjacent places, given in order."""
+    first = F.filter(places, lambda p, i: ~F.coalesce(F.get(places, i - 1) == p - 1, F.lit(False)))
+    last = F.filter(places, lambda p, i: ~F.coalesce(F.get(places, i + 1) == p + 1, F.lit(False)))
+    return F.zip_with(first, last, lambda a, b: F.struct((b + shift).alias("end"), b.alias("last"), a.alias("first"), shift.alias("shift")))
+
+
+_CHAIN = "array<struct<n:int,last:int,end:int,parts:array<struct<shift:int,first:int,last:int>>>>"
+
+
+def chains(found: Column, length: Column, need: Column) -> Column:
+    """The chains of `need` windows or more, the longest that ends with each run. Of what may come before
+    a run, only chains that end within the item's length and SLACK before it are looked at: no other links."""
+
+    def step(state: Column, r: Column) -> Column:
+        near = F.filter(state["live"], lambda c: c["end"] >= r["end"] - length - SLACK)
+        fits = F.filter(near, lambda c: (c["last"] < r["last"]) & (c["end"] < r["end"]) & (F.abs(c["end"] - c["last"] - r["shift"]) <= SLACK))
+        first = lambda c: F.greatest(r["first"], c["last"] + 1, c["end"] + 1 - r["shift"])
+        ways = F.transform(fits, lambda c: F.struct((c["n"] + r["last"] - first(c) + 1).alias("n"), (-F.abs(c["end"] - c["last"] - r["shift"])).alias("even"), first(c).alias("first"), c["parts"].alias("parts")))
+        alone = F.struct((r["last"] - r["first"] + 1).alias("n"), F.lit(0).alias("even"), r["first"].alias("first"), F.expr("cast(array() as array<struct<shift:int,first:int,last:int>>)").alias("parts"))
+        part = lambda w: F.struct(r["shift"].alias("shift"), w["first"].alias("first"), r["last"].alias("last"))
+        new = let(F.coalesce(F.array_max(ways), alone), lambda w: F.struct(w["n"].alias("n"), r["last"].alias("last"), r["end"].alias("end"), F.concat(w["parts"], F.array(part(w))).alias("parts")))
+        return let(new, lambda c: F.struct(F.concat(near, F.array(c)).alias("live"), F.when(c["n"] >= need, F.concat(state["done"], F.array(c))).otherwise(state["done"]).alias("done")))
+
+    none = F.expr(f"cast(named_struct('live', array(), 'done', array()) as struct<live:{_CHAIN},done:{_CHAIN}>)")
+    return F.aggregate(F.array_sort(F.flatten(F.transform(found, lambda f: runs(f["shift"], f["places"])))), none, step, lambda state: state["done"])
+
+
+def consistent(parts: Column, size: Column, slots: Column, values: Column, marks: Column) -> Column:
+    """Whether what stands in the slots that a chain covers corresponds one to one."""
+
+    def faced(s: Column, at: Column) -> Column:
+        def pair(run: Column) -> Column:
+            alike = s["run"]["length"] == run["length"]
+            mine = F.when(alike, s["value"]).otherwise(s["names"])
+            theirs = F.when(alike, F.get(values, run["start"] + s["place"] - s["run"]["start"] - 1)).otherwise(joined(values, run))
+            return F.struct(mine.alias("mine"), theirs.alias("theirs"))
+
+        return let(name_run(marks, at), pair)
+
+    covered = lambda p: F.filter(slots, lambda s: s["place"].between(p["first"], p["last"] + size - 1))
+    faces = F.array_distinct(F.flatten(F.transform(parts, lambda p: F.transform(covered(p), lambda s: faced(s, s["place"] + p["shift"])))))
+    n_of = lambda pairs, side: F.size(F.array_distinct(F.transform(pairs, lambda f: f[side])))
+    return let(faces, lambda pairs: (n_of(pairs, "mine") == F.size(pairs)) & (n_of(pairs, "theirs") == F.size(pairs)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
@@ -73,28 +149,28 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     wanted = shared.stage(item_windows(items, width), "items")
     n, widths = wanted.agg(F.count("*"), F.sort_array(F.collect_set("width"))).first()
     small = n * 256 <= BROADCAST_BYTES
-    keys = wanted.select("width", "hash", "item_id", "place", "n_windows")
+    keys = wanted.select("width", "hash", "item_id", "place", "length", "n_windows")
     hashed = docs.where("doc_id is not null and text is not null").select("doc_id", F.transform(template(marked(F.col("text"))), lambda t: F.xxhash64(t)).alias("hashes"))
     each = F.flatten(F.array(*[windows(F.col("hashes"), w) for w in (widths or [width])]))
     found = hashed.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.hash", "w.at", "w.width")
     found = found.join(F.broadcast(keys) if small else keys, ["width", "hash"])
-    found = found.groupBy("doc_id", "item_id", "n_windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("matched")).withColumn("n_matched", F.size("matched").cast("long"))
-    found = shared.stage(found.where(F.col("n_matched") >= F.col("n_windows") * F.lit(share)), "matches")
+    found = found.groupBy("doc_id", "item_id", "length", "n_windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.array_sort(F.collect_set("place")).alias("places"))
+    found = found.groupBy("doc_id", "item_id", "length", "n_windows").agg(F.collect_list(F.struct("shift", "places")).alias("found"))
+    need = F.col("n_windows") * F.lit(share)
+    found = found.where(F.size(F.array_distinct(F.flatten("found.places"))) >= need)
+    found = found.select("doc_id", "item_id", "n_windows", F.explode(chains(F.col("found"), F.col("length"), need)).alias("c"))
+    found = shared.stage(found.select("doc_id", "item_id", "n_windows", F.col("c.n").cast("long").alias("n_matched"), "c.parts").distinct(), "matches")
     slots = wanted.where("size(slots) > 0").select("item_id", F.col("width").alias("size"), "slots").dropDuplicates(["item_id"])
-    plain = found.join(slots.select("item_id"), "item_id", "left_anti").drop("matched").withColumn("n_slots", F.lit(0).cast("long"))
+    plain = found.join(slots.select("item_id"), "item_id", "left_anti").drop("parts").withColumn("n_slots", F.lit(0).cast("long"))
     slotted = found.join(slots, "item_id")
     n_slotted = slotted.count()
     if n_slotted:
-        slotted = slotted.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_windows", "shift", "n_matched", "matched", "size", "slots")).alias("found"))
+        slotted = slotted.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_windows", "n_matched", "parts", "size", "slots")).alias("found"))
         values = docs.select("doc_id", "text").join(F.broadcast(slotted) if n_slotted * 4096 <= BROADCAST_BYTES else slotted, "doc_id")
-        values = values.select("doc_id", F.explode("found").alias("f"), tokens(marked(F.col("text"))).alias("v"))
-        covered = F.filter("f.slots", lambda s: F.exists("f.matched", lambda p: s["place"].between(p, p + F.col("f.size") - 1)))
-        aligned = F.transform(covered, lambda s: F.struct(s["value"].alias("mine"), F.get("v", s["place"] + F.col("f.shift") - 1).alias("theirs")))
-        aligned = F.filter(aligned, lambda p: p["theirs"].isNotNull())
-        same = F.size(F.array_distinct(aligned))
-        one_to_one = (F.size(F.array_distinct(F.transform(aligned, lambda p: p["mine"]))) == same) & (F.size(F.array_distinct(F.transform(aligned, lambda p: p["theirs"]))) == same)
-        fits = values.where(one_to_one).select("f.item_id", "doc_id", "f.n_windows", "f.shift", "f.n_matched", F.size("f.slots").cast("long").alias("n_slots"))
-        plain = plain.unionByName(fits)
+        values = values.select("found", tokens(marked(F.col("text"))).alias("v"), name_marks(template(marked(F.col("text")))).alias("marks"), "doc_id")
+        values = values.select("doc_id", F.explode("found").alias("f"), "v", "marks")
+        fits = values.where(consistent(F.col("f.parts"), F.col("f.size"), F.col("f.slots"), F.col("v"), F.col("marks")))
+        plain = plain.unionByName(fits.select("f.item_id", "doc_id", "f.n_windows", "f.n_matched", F.size("f.slots").cast("long").alias("n_slots")))
     return plain.groupBy("doc_id", "item_id", "n_windows", "n_slots").agg(F.max("n_matched").alias("n_matched"))
 
 

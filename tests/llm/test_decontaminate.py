@@ -36,6 +36,22 @@ def test_share_of_windows(spark):
     assert found(spark, " ".join(words[:20]), " ".join(words[:14]), item.upper(), item.replace(" ", " - "), item=item) == [0, 2, 3]
 
 
+def test_words_inserted_and_deleted(spark):
+    """Windows on both sides of an edit add up; in another order, or far apart, they do not."""
+    words = [f"w{i}" for i in range(30)]
+    more, less = " ".join(words[:15] + ["new"] + words[15:]), " ".join(words[:14] + words[15:])
+    turned, apart = " ".join(words[15:] + words[:15]), " ".join(words[:15] + [f"x{i}" for i in range(40)] + words[15:])
+    assert found(spark, more, less, turned, apart, item=" ".join(words)) == [0, 1]
+    row = D.leaks(spark.createDataFrame([(0, more)], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).first()
+    assert (row["n_matched"], row["n_windows"]) == (16, 23)
+
+
+def test_names_of_more_or_fewer_words(spark):
+    longer = ITEM.replace("Denver", "New York")
+    assert found(spark, longer, longer.replace("450", "60")) == [0]  # two numbers of the item become one
+    assert found(spark, ITEM, ITEM.replace("Denver", "Salt Lake City"), item=longer) == [0, 1]
+
+
 def test_slots_outside_matched_windows(spark):
     """The document holds the first twenty tokens; `Smith` comes again where it goes on with other text."""
     words = [f"w{i}" for i in range(30)]
