@@ -11,8 +11,11 @@ caught, and prose that merely has the same shape is not. Adjacent names that fac
 names are compared as one value.
 
 A number is digits with . or , between them; a unit is one of UNITS after a number; a name is a
-capitalised word after a lower-case letter, comma or semicolon and a space. Windows of which more than
-half is placeholders are no evidence. Null or empty texts, of either table, match nothing. Rows of
+capitalised word after a lower-case letter, comma or semicolon and a space. In a second template every
+capitalised word is a name, wherever it stands. Chains are made of the windows whose first templates
+are equal, and again of those with windows where either template of the one equals either of the
+other; a document holds an item if one of both is consistent. Windows of which more than half is
+placeholders are no evidence. Null or empty texts, of either table, match nothing. Rows of
 null doc_id or item_id are left out. Repeated rows give their pair once. Extra columns are ignored.
 """
 
@@ -27,21 +30,30 @@ WIDTH, SHARE, SLACK = 8, 0.5, 8
 #: Bytes of benchmark windows, and of documents to verify, up to which they are broadcast; beyond it
 #: they are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
-NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
+NAME, NUMBER, UNIT, FIRST = "\ue001", "\ue002", "\ue003", "\ue004"
 #: Units of measure, money and time.
 UNITS = "km|cm|mm|m|mi|ft|in|kg|g|mg|lb|lbs|oz|l|ml|mph|kmh|h|hr|hrs|hour|hours|min|mins|minute|minutes|s|sec|secs|second|seconds|day|days|week|weeks|month|months|year|years|percent|dollar|dollars|euro|euros|cent|cents|degrees"
 
 
-def marked(text: Column) -> Column:
+#: Where a name begins: inside a sentence, and anywhere.
+INSIDE, ANYWHERE = r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", r"(?<![\p{L}\p{N}\p{M}" + NAME + r"])(?=\p{Lu}\p{Ll})"
+
+
+def marked(text: Column, name: str = INSIDE) -> Column:
     """The text in lower case with a placeholder before each slot's value."""
-    out = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", NAME)
+    out = F.regexp_replace(text, name, NAME)
     out = F.regexp_replace(F.lower(out), r"(?<=[0-9])[.,](?=[0-9])", "")
     out = F.regexp_replace(out, r"(?<![\p{L}\p{N}" + NAME + r"])(?=[0-9])", NUMBER)
     return F.regexp_replace(out, r"(?<=[0-9])( ?)(?=(?:" + UNITS + r")(?![\p{L}\p{N}]))", " " + UNIT)
 
 
 def tokens(marked_text: Column) -> Column:
-    return F.filter(F.split(marked_text, r"[^\p{L}\p{N}\p{M}" + NAME + NUMBER + UNIT + "]+"), lambda t: t != "")
+    return F.filter(F.split(marked_text, r"[^\p{L}\p{N}\p{M}" + NAME + NUMBER + UNIT + FIRST + "]+"), lambda t: t != "")
+
+
+def values_of(marked_text: Column) -> Column:
+    """Tokens as they stand, names without their placeholder: they may face a word that has none."""
+    return tokens(F.translate(marked_text, NAME, ""))
 
 
 def template(marked_text: Column) -> Column:
@@ -49,29 +61,55 @@ def template(marked_text: Column) -> Column:
     return tokens(F.regexp_replace(marked_text, "([" + NAME + NUMBER + UNIT + r"])[\p{L}\p{N}\p{M}]+", "$1"))
 
 
-def windows(hashes: Column, width: int) -> Column:
-    """(hash, at, width) of each run of so many token hashes."""
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def hashes_of(shape: Column) -> Column:
+    return F.transform(shape, lambda t: F.xxhash64(t))
+
+
+def both_hashes(text: Column) -> Column:
+    """(hashes, other): the token hashes of both templates, from one pass over the text."""
+    shape = template(marked(F.regexp_replace(F.regexp_replace(text, INSIDE, NAME), ANYWHERE, FIRST), "(?!)"))
+    return let(shape, lambda x: F.struct(hashes_of(F.transform(x, lambda t: F.ltrim(t, F.lit(FIRST)))).alias("hashes"), F.transform(x, lambda t: F.xxhash64(F.when(t.startswith(FIRST), NAME).otherwise(t))).alias("other")))
+
+
+def rolled(hashes: Column, width: int) -> Column:
+    """The hash of each window of a list of token hashes; what begins too late for a window has no meaning."""
+    pair = lambda x, y, n: F.zip_with(x, F.slice(y, n + 1, F.greatest(F.size(y) - n, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    if width == 1:
+        return hashes
+    if width % 2:
+        return let(hashes, lambda h: pair(rolled(h, width - 1), h, width - 1))
+    return let(rolled(hashes, width // 2), lambda h: pair(h, h, width // 2))
+
+
+def windows(hashes: Column, other: Column, width: int) -> Column:
+    """(hash, at, width, first) of each run of so many token hashes, and of each that the second template changes."""
     n = F.size(hashes) - width + 1
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(F.xxhash64(F.slice(hashes, i, width)).alias("hash"), i.alias("at"), F.lit(width).alias("width")))
+    one = lambda h, first: lambda i: F.struct(F.get(h, i - 1).alias("hash"), i.alias("at"), F.lit(width).alias("width"), F.lit(first).alias("first"))
+    both = lambda a, b: F.concat(F.transform(places, one(a, True)), F.transform(F.filter(places, lambda i: F.get(a, i - 1) != F.get(b, i - 1)), one(b, False)))
+    return let(rolled(hashes, width), lambda a: let(rolled(other, width), lambda b: both(a, b)))
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, n_windows, width, hash, place, slots) of the items' windows that are evidence."""
-    rows = items.where("item_id is not null and text is not null").select("item_id", marked(F.col("text")).alias("m"))
-    rows = rows.select("item_id", tokens(F.col("m")).alias("values"), template(F.col("m")).alias("shape")).where("size(shape) > 0")
+    """(item_id, n_windows, width, length, hash, place, first, slots, more_slots) of the items' windows that
+    are evidence in the first template or in the second; the slots are those of either."""
+    rows = items.where("item_id is not null and text is not null").select("item_id", marked(F.col("text")).alias("m"), marked(F.col("text"), ANYWHERE).alias("a"))
+    rows = rows.select("item_id", values_of(F.col("m")).alias("values"), template(F.col("m")).alias("shape"), template(F.col("a")).alias("other")).where("size(shape) > 0")
     rows = rows.withColumn("width", F.least(F.size("shape"), F.lit(width)))
-    rows = rows.withColumn("hashes", F.transform("shape", lambda t: F.xxhash64(t)))
+    rows = rows.withColumns({"hashes": hashes_of(F.col("shape")), "changed": hashes_of(F.col("other"))})
     slot = lambda t: t.isin(NAME, NUMBER, UNIT)
-    rows = rows.withColumn("places", F.filter(F.sequence(F.lit(1), F.size("shape") - F.col("width") + 1), lambda i: F.size(F.filter(F.slice("shape", i, F.col("width")), slot)) * 2 <= F.col("width")))
-    rows = rows.withColumn("slots", slots_of(F.col("values"), F.col("shape")))
-    rows = rows.select("item_id", "width", F.size("shape").alias("length"), "slots", F.size("places").cast("long").alias("n_windows"), "hashes", F.explode("places").alias("place"))
-    return rows.select("item_id", "width", "length", "slots", "n_windows", "place", F.xxhash64(F.slice("hashes", F.col("place"), F.col("width"))).alias("hash"))
-
-
-def let(value: Column, use) -> Column:
-    """use(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
+    each = F.coalesce(*[F.when(F.col("width") == w, windows(F.col("hashes"), F.col("changed"), w)) for w in range(1, width + 1)])
+    slotted = lambda w: F.filter(F.slice(F.when(w["first"], F.col("shape")).otherwise(F.col("other")), w["at"], F.col("width")), slot)
+    rows = rows.withColumn("windows", F.filter(each, lambda w: F.size(slotted(w)) * 2 <= F.col("width")))
+    rows = rows.withColumns({"slots": slots_of(F.col("values"), F.col("shape")), "more_slots": slots_of(F.col("values"), F.col("other"))})
+    n_windows = F.size(F.filter("windows", lambda w: w["first"])).cast("long")
+    rows = rows.select("item_id", "width", F.size("shape").alias("length"), "slots", "more_slots", n_windows.alias("n_windows"), F.explode("windows").alias("w"))
+    return rows.select("item_id", "width", "length", "slots", "more_slots", "n_windows", F.col("w.at").alias("place"), "w.first", "w.hash")
 
 
 def name_marks(shape: Column) -> Column:
@@ -149,28 +187,34 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     wanted = shared.stage(item_windows(items, width), "items")
     n, widths = wanted.agg(F.count("*"), F.sort_array(F.collect_set("width"))).first()
     small = n * 256 <= BROADCAST_BYTES
-    keys = wanted.select("width", "hash", "item_id", "place", "length", "n_windows")
-    hashed = docs.where("doc_id is not null and text is not null").select("doc_id", F.transform(template(marked(F.col("text"))), lambda t: F.xxhash64(t)).alias("hashes"))
-    each = F.flatten(F.array(*[windows(F.col("hashes"), w) for w in (widths or [width])]))
-    found = hashed.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.hash", "w.at", "w.width")
+    keys = wanted.select("width", "hash", "item_id", "place", "length", "n_windows", F.col("first").alias("item_first"))
+    hashed = docs.where("doc_id is not null and text is not null").select("doc_id", both_hashes(F.col("text")).alias("h")).select("doc_id", "h.hashes", "h.other")
+    each = F.flatten(F.array(*[windows(F.col("hashes"), F.col("other"), w) for w in (widths or [width])]))
+    found = hashed.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.hash", "w.at", "w.width", "w.first")
     found = found.join(F.broadcast(keys) if small else keys, ["width", "hash"])
-    found = found.groupBy("doc_id", "item_id", "length", "n_windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.array_sort(F.collect_set("place")).alias("places"))
-    found = found.groupBy("doc_id", "item_id", "length", "n_windows").agg(F.collect_list(F.struct("shift", "places")).alias("found"))
+    first = F.col("first") & F.col("item_first")
+    found = found.groupBy("doc_id", "item_id", "length", "n_windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.array_sort(F.collect_set(F.when(first, F.col("place")))).alias("places"), F.array_sort(F.collect_set("place")).alias("all"))
+    found = found.groupBy("doc_id", "item_id", "length", "n_windows").agg(F.collect_list(F.struct("shift", "places")).alias("found"), F.collect_list(F.struct("shift", F.col("all").alias("places"))).alias("all"))
+    either = F.array(F.struct(F.lit(True).alias("first"), F.col("found").alias("found")), F.struct(F.lit(False).alias("first"), F.col("all").alias("found")))
+    found = found.withColumn("e", F.explode(F.when(F.col("found") == F.col("all"), F.slice(either, 1, 1)).otherwise(either))).select("doc_id", "item_id", "length", "n_windows", "e.*")
     need = F.col("n_windows") * F.lit(share)
     found = found.where(F.size(F.array_distinct(F.flatten("found.places"))) >= need)
-    found = found.select("doc_id", "item_id", "n_windows", F.explode(chains(F.col("found"), F.col("length"), need)).alias("c"))
-    found = shared.stage(found.select("doc_id", "item_id", "n_windows", F.col("c.n").cast("long").alias("n_matched"), "c.parts").distinct(), "matches")
-    slots = wanted.where("size(slots) > 0").select("item_id", F.col("width").alias("size"), "slots").dropDuplicates(["item_id"])
-    plain = found.join(slots.select("item_id"), "item_id", "left_anti").drop("parts").withColumn("n_slots", F.lit(0).cast("long"))
-    slotted = found.join(slots, "item_id")
+    found = found.select("doc_id", "item_id", "n_windows", "first", F.explode(chains(F.col("found"), F.col("length"), need)).alias("c"))
+    found = shared.stage(found.select("doc_id", "item_id", "n_windows", "first", F.col("c.n").cast("long").alias("n_matched"), "c.parts").distinct(), "matches")
+    slots = wanted.select("item_id", F.col("width").alias("size"), "slots", "more_slots").dropDuplicates(["item_id"])
+    found = found.join(slots.select("item_id", "size", F.size("slots").cast("long").alias("n_slots"), F.size("more_slots").alias("n_more")), "item_id")
+    empty = F.when(F.col("first"), F.col("n_slots") == 0).otherwise(F.col("n_more") == 0)
+    plain = found.where(empty).select("item_id", "doc_id", "n_windows", "n_matched", "n_slots")
+    slotted = found.where(~empty).join(slots.select("item_id", "slots", "more_slots"), "item_id").withColumn("checked", F.when(F.col("first"), F.col("slots")).otherwise(F.col("more_slots")))
     n_slotted = slotted.count()
     if n_slotted:
-        slotted = slotted.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_windows", "n_matched", "parts", "size", "slots")).alias("found"))
+        slotted = slotted.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_windows", "first", "n_matched", "parts", "size", "checked", "n_slots")).alias("found"))
         values = docs.select("doc_id", "text").join(F.broadcast(slotted) if n_slotted * 4096 <= BROADCAST_BYTES else slotted, "doc_id")
-        values = values.select("found", tokens(marked(F.col("text"))).alias("v"), name_marks(template(marked(F.col("text")))).alias("marks"), "doc_id")
-        values = values.select("doc_id", F.explode("found").alias("f"), "v", "marks")
-        fits = values.where(consistent(F.col("f.parts"), F.col("f.size"), F.col("f.slots"), F.col("v"), F.col("marks")))
-        plain = plain.unionByName(fits.select("f.item_id", "doc_id", "f.n_windows", "f.n_matched", F.size("f.slots").cast("long").alias("n_slots")))
+        marks = [name_marks(template(marked(F.col("text"), n))).alias(c) for c, n in (("marks", INSIDE), ("more_marks", ANYWHERE))]
+        values = values.select("doc_id", "found", values_of(marked(F.col("text"))).alias("v"), *marks)
+        values = values.select("doc_id", F.explode("found").alias("f"), "v", "marks", "more_marks").withColumn("marks", F.when(F.col("f.first"), F.col("marks")).otherwise(F.col("more_marks")))
+        fits = values.where(consistent(F.col("f.parts"), F.col("f.size"), F.col("f.checked"), F.col("v"), F.col("marks")))
+        plain = plain.unionByName(fits.select("f.item_id", "doc_id", "f.n_windows", "f.n_matched", "f.n_slots"))
     return plain.groupBy("doc_id", "item_id", "n_windows", "n_slots").agg(F.max("n_matched").alias("n_matched"))
 
 

@@ -52,6 +52,20 @@ def test_names_of_more_or_fewer_words(spark):
     assert found(spark, ITEM, ITEM.replace("Denver", "Salt Lake City"), item=longer) == [0, 1]
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples. Tom eats 2. How many apples has Tom left?"
+    new = item.replace("Tom", "Anna").replace("5", "9").replace("2", "4")
+    two = new.replace("has Anna", "has Mary")  # one name of the item becomes two
+    assert found(spark, new, two, "So: (" + new + ")", "Once\n" + new, item.lower(), item=item) == [0, 2, 3, 4]
+    assert found(spark, "Anna has 7 red apples", "Anna has 7 green apples", "(Anna has 7 red apples)", item="Tom has 5 red apples") == [0, 2]
+
+
+def test_first_words_that_change_apart(spark):
+    """The same first word of sentences may face different ones where the rest is literally there."""
+    item = "The w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14. The w15 w16 w17 w18 w19 w20 w21."
+    assert found(spark, item.replace(". The", ". Some").replace("w21.", "w21. The"), item=item) == [0]
+
+
 def test_slots_outside_matched_windows(spark):
     """The document holds the first twenty tokens; `Smith` comes again where it goes on with other text."""
     words = [f"w{i}" for i in range(30)]
