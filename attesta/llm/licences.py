@@ -1,7 +1,10 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates, in DataFrame functions only.
 
-Paragraphs are lines. Those that hold a key term of licence language are candidates: nothing else can
-be confirmed. Equal candidates are classified once. The classifier is a softmax regression over sparse
+Lines that hold a key term of licence language are candidates, and a row each. So that notices wrapped
+over lines or without a key term are found too, adjacent lines with words are read together: all runs
+of lines around a gram of which a template must hold one to be confirmed, whose inner lines have fewer
+words than the longest template. Of those confirmed, the best of overlapping ones of a family is a row,
+with its first line's number, unless a line in it is confirmed as that family by itself. Equal candidates are classified once. The classifier is a softmax regression over sparse
 word n-grams of one to three words, trained on the driver from the templates below, changed at random
 (words dropped, other words around), and from negatives; its size is bounded by the templates. A
 temperature fitted on held-out examples calibrates its probabilities, and `unknown` is a class of its
@@ -158,17 +161,44 @@ def gram_array(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def scan(docs: DataFrame, least: float = LEAST, overlap: float = OVERLAP) -> DataFrame:
-    """(doc_id, paragraph, line, family, probability, similarity) of each candidate paragraph."""
-    spark = docs.sparkSession
+@functools.cache
+def needed_grams(overlap: float) -> str:
+    """An expression for grams of which each text that holds `overlap` of a template has one: of every
+    template, the longest of its grams, one more than may be missing."""
+    kept = set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        grams = sorted(pairs_of(words_of(t)), key=lambda g: (-len(g), g))
+        kept |= set(grams[: sum(k / len(grams) < overlap for k in range(len(grams) + 1)) * -1 + len(grams) + 1])
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(g.replace(" ", r"[^\p{L}\p{N}]+") for g in sorted(kept)) + r")(?![\p{L}\p{N}])"
+
+
+def line_runs(docs: DataFrame, overlap: float) -> DataFrame:
+    """(row, doc_id, start, stop, line) of the runs of lines that may be confirmed together."""
+    longest = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts)
+    gram = needed_grams(overlap)
+    some = docs.where(F.lower("text").rlike(gram)).select("doc_id", F.split("text", "\n").alias("lines"))
+    some = shared.stage(some.withColumn("row", F.monotonically_increasing_id()), "licences")
+    some = some.withColumn("sizes", F.transform("lines", lambda x: F.size(word_array(x)))).withColumn("last", F.size("lines") - 1)
+    # a gram lies in a line or goes over to the next ones that hold a word
+    begins = lambda i: F.lower(F.array_join(F.slice("lines", i + 1, 2), "\n")).rlike(gram)
+    some = some.withColumn("hits", F.filter(F.sequence(F.lit(0), F.col("last")), begins))
+    inner = lambda i, j: F.aggregate(F.slice("sizes", i + 2, F.greatest(j - i - 1, F.lit(0))), F.lit(0), lambda n, x: n + x)
+    whole = lambda i, j: F.forall(F.slice("sizes", i + 1, j - i + 1), lambda x: x > 0) & (inner(i, j) < longest)
+    stops = lambda h, i: F.filter(F.sequence(h, F.least(F.col("last"), i + longest)), lambda j: whole(i, j))
+    around = lambda h: F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), h - longest), h), lambda i: F.transform(stops(h, i), lambda j: F.struct(i.alias("start"), j.alias("stop")))))
+    spans = F.array_distinct(F.flatten(F.transform("hits", around)))
+    each = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.array_join(F.slice("lines", s["start"] + 1, s["stop"] - s["start"] + 1), "\n").alias("line")))
+    return some.select("row", "doc_id", F.explode(each).alias("s")).select("row", "doc_id", "s.*")
+
+
+def classified(distinct: DataFrame, least: float, overlap: float) -> DataFrame:
+    """(line, family, probability, similarity) of distinct texts."""
+    spark = distinct.sparkSession
     classes, weights, bias = model()
     features = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, weights array<double>")
     parts = [(family, f"{family}/{i}", g, len(pairs_of(words_of(t)))) for family, ts in TEMPLATES.items() for i, t in enumerate(ts) for g in pairs_of(words_of(t))]
     parts = spark.createDataFrame(parts, "family string, template string, gram string, size int")
 
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    found = lines.where(F.lower("line").rlike(KEY))
-    distinct = found.select("line").distinct()
     grams = distinct.withColumn("w", word_array(F.col("line")))
     grams = grams.select("line", F.explode(F.array_distinct(F.concat(F.col("w"), gram_array(F.col("w"), 2), gram_array(F.col("w"), 3)))).alias("gram"))
     sums = [F.sum(F.get("weights", i)).alias(f"z{i}") for i in range(len(classes))]
@@ -184,8 +214,25 @@ def scan(docs: DataFrame, least: float = LEAST, overlap: float = OVERLAP) -> Dat
     alike = alike.groupBy("line", "family").agg(F.max("s").alias("similarity"))
     named = distinct.join(scored, "line", "left").join(alike.withColumnRenamed("family", "predicted"), ["line", "predicted"], "left")
     sure = (F.col("probability") >= least) & (F.col("similarity") >= overlap)
-    named = named.select("line", F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
-    return found.join(named, "line").select("doc_id", "paragraph", "line", "family", "probability", "similarity")
+    return named.select("line", F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def scan(docs: DataFrame, least: float = LEAST, overlap: float = OVERLAP) -> DataFrame:
+    """(doc_id, paragraph, line, family, probability, similarity) of each line with a key term and of each
+    other run of lines that is confirmed."""
+    docs = docs.where("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    found = lines.where(F.lower("line").rlike(KEY))
+    found = found.join(classified(found.select("line").distinct(), least, overlap), "line").select("doc_id", "paragraph", "line", "family", "probability", "similarity")
+    together = line_runs(docs, overlap)
+    together = together.join(classified(together.select("line").distinct(), least, overlap), "line").where(F.col("family") != UNKNOWN)
+    together = shared.stage(together.withColumn("alone", (F.col("start") == F.col("stop")) & F.lower("line").rlike(KEY)), "together")
+    # a run gives way to a line that is confirmed by itself, to a better run, a shorter one, an earlier one
+    rank = lambda t: F.struct(F.col(f"{t}.alone"), F.col(f"{t}.similarity"), F.col(f"{t}.start") - F.col(f"{t}.stop"), -F.col(f"{t}.start"))
+    a, b = together.alias("a"), together.alias("b")
+    over = (F.col("a.row") == F.col("b.row")) & (F.col("a.family") == F.col("b.family")) & (F.col("a.start") <= F.col("b.stop")) & (F.col("b.start") <= F.col("a.stop"))
+    best = a.join(b, over & (rank("b") > rank("a")), "left_anti").where("not alone")
+    return found.unionByName(best.select("doc_id", F.col("start").alias("paragraph"), "line", "family", "probability", "similarity"))
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

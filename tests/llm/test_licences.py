@@ -32,6 +32,25 @@ def test_templates_in_other_words(spark):
     assert got == {0: "Apache-2.0", 1: "MIT", 2: "BSD", 3: "unknown", 4: "unknown", 6: "CC-BY-SA"}
 
 
+def test_notices_wrapped_over_lines(spark):
+    mpl = ("# This Source Code Form is subject to the terms of the Mozilla Public", "# License, v. 2.0. If a copy of the MPL was not distributed with this")
+    bsd = (" * Redistribution and use in source and binary", " * forms, with or without modification, are", " * permitted provided that the following conditions are met:")
+    mit = ("granted, free of charge, to any person obtaining a copy of this software and associated documentation files",)
+    for family, lines in (("MPL-2.0", mpl), ("BSD", bsd), ("MIT", mit)):
+        assert [f for f in families(spark, "prose before", "", *lines, "", "prose after").values() if f != "unknown"] == [family], family
+    twice = families(spark, *bsd, "", *bsd, "", "Licensed under the MIT License", "in prose")
+    assert {p: f for p, f in twice.items() if f != "unknown"} == {0: "BSD", 4: "BSD", 8: "MIT"}
+
+
+def test_needed_grams(spark):
+    """No text that holds enough of a template is passed over."""
+    for t in (t for ts in L.TEMPLATES.values() for t in ts):
+        grams = sorted(L.pairs_of(L.words_of(t)), key=len)
+        least = next(k for k in range(len(grams) + 1) if k / len(grams) >= L.OVERLAP)
+        text = " / ".join(grams[:least])
+        assert re.search(L.needed_grams(L.OVERLAP).replace(r"\p{L}\p{N}", "a-z0-9"), text), t
+
+
 def test_classifier_knows_its_templates():
     classes, weights, bias = L.model()
     for family, texts in L.TEMPLATES.items():
