@@ -691,14 +691,15 @@ def tokens_full(spark, sf_dir):
 
 
 def _retrieved(spark, sf_dir) -> DataFrame:
-    """Assistant turns with the candidates of `_answers` as their results."""
+    """Assistant turns with what the search by BM25 finds for them in all documents, best first."""
     docs = table(spark, sf_dir, "documents")
-    groups = docs.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("groups"))
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").crossJoin(groups)
-    turns = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer"), "text", (F.col("conv_id") % F.col("groups")).alias("g"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer"), "text")
+    found = lexical.ranked(lexical.bm25(lexical.with_terms(docs), "doc_id", lexical.with_terms(turns), "answer", digits=6), "answer", "doc_id", K.TOP_K)
     one = F.struct(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.lit(0).alias("start"))
-    held = docs.crossJoin(groups).groupBy((F.col("doc_id") % F.col("groups")).alias("g")).agg(F.array_sort(F.collect_list(one)).alias("results"))
-    return turns.join(held, "g").select("answer", "text", "results")
+    held = found.select("answer", "doc_id", "rank").join(docs.select("doc_id", "text"), "doc_id").groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("one")))).alias("held"))
+    held = held.select("answer", F.transform("held", lambda h: h["one"]).alias("results"))
+    none = F.array().cast(held.schema["results"].dataType)
+    return turns.join(held, "answer", "left").select("answer", "text", F.coalesce("results", none).alias("results"))
 
 
 @query()

@@ -81,3 +81,14 @@ def test_entry_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert q and set(s) <= set(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=120)
+
+
+def test_retrieved_is_what_the_search_finds(spark, tmp_path):
+    """The source of an answer is among its results, whatever both are numbered; answers without any stay."""
+    docs = [(i, f"document{i} speaks of subject{i} and of nothing else") for i in range(40)]
+    turns = [(1, 1, "assistant", "subject30 is what document30 speaks of"), (2, 1, "assistant", "zzz"), (3, 0, "user", "subject3")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["answer"]: [x["document_id"] for x in r["results"]] for r in catalogue._retrieved(spark, str(tmp_path)).collect()}
+    assert got[1001][0] == "30" and len(got[1001]) == 10 and got[2001] == [] and len(got) == 2
+    assert {r["answer"] for r in catalogue.attribution_spans(spark, str(tmp_path)).collect()} == {1001, 2001}
