@@ -6,7 +6,8 @@ inverted list is kept for each label and pair of pivots; vectors meet where they
 or more, and every meeting is verified by cosine in double precision, so no reported link is wrong. A
 pair that meets in several lists counts in the first.
 
-All vectors are indexed. Equal vectors of one label are one class and are compared once. Long lists
+All vectors are indexed; lengths other than the commonest, of at most BLOCK classes, are compared whole,
+without pivots. Equal vectors of one label are one class and are compared once. Long lists
 are cut into blocks, and each pair of blocks is a unit of bounded size; tasks give link counts and a
 spanning forest of each unit, never its pairs.
 
@@ -100,8 +101,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     classes = fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"))
     classes = shared.stage(classes.withColumn("class", F.xxhash64("label", "embedding")), "classes")
     width = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    sizes = [r["d"] for r in classes.select(F.size("embedding").alias("d")).distinct().limit(1000).collect()] if width else []
-    parts = []
+    counts = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
+    sizes = [r["d"] for r in counts.where((F.col("n") > BLOCK) | (F.col("d") == width["d"])).collect()] if width else []
+    parts = [_all_links(classes.where(~F.size("embedding").isin(sizes)).withColumn("d", F.size("embedding")), cosine)] if sizes else []
     for d in sizes:  # one size but in odd data
         some = classes.where(F.size("embedding") == d)
         sample = shared.first_by(some, "class", SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
@@ -125,6 +127,29 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     return good.union(odd).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def _all_links(classes: DataFrame, cosine: float) -> DataFrame:
+    """(class, links, root) of every pair of one label and length d, of which there are at most BLOCK."""
+
+    def verify(batches):
+        for unit in shared.runs(batches, "unit"):
+            at: dict[tuple, list[int]] = {}
+            for r, x in enumerate(zip(unit.column("label").to_pylist(), unit.column("d").to_pylist())):
+                at.setdefault(x, []).append(r)
+            for rows in at.values():  # one, unless hashes of units collide
+                part = unit.take(rows)
+                vectors = unit_rows(part.column("embedding").combine_chunks())
+                p, q = np.nonzero(np.triu(vectors @ vectors.T >= cosine, 1))
+                if not len(p):
+                    continue
+                ids, n = part.column("class").to_numpy(), part.column("n").to_numpy()
+                links = np.bincount(p, n[q], len(ids)) + np.bincount(q, n[p], len(ids))
+                some = links > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[forest(len(ids), p, q)][some])], ["class", "links", "root"])
+
+    sent = classes.select(F.xxhash64("label", "d").alias("unit"), "class", "label", "n", "d", "embedding")
+    return sent.repartition("unit").sortWithinPartitions("unit").mapInArrow(shared.lean(verify), "class long, links long, root long")
+
+
 def _links(classes: DataFrame, chosen: np.ndarray, cosine: float, prefix: int, least: int) -> DataFrame:
     """(class, links, root): for units that hold links, the number of vectors that each class links to
     and a class that it reaches."""

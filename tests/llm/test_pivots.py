@@ -77,3 +77,9 @@ def test_odd_rows(spark):
     twice = P.near_duplicates(df.where("vec_id = 12").union(df.where("vec_id = 12")))
     assert [(r["n_links"], r["component_id"]) for r in twice.collect()] == [(1, 12), (1, 12)]
     assert P.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_many_lengths(spark):
+    rows = [(2 * d + k, [1.0] * (d - 1) + [1.0 + k / 100], 0) for d in range(1, 1201) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert got(P.near_duplicates(df)) == {i: (1, i // 2 * 2, i % 2 == 0) for i, _, _ in rows}
