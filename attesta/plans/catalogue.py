@@ -180,8 +180,8 @@ def cosine_topk(spark, sf_dir):
     """Every twentieth vector asks all."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding").toPandas()
-    found = dense.top_cosines(rows, "vec_id", asked, "query_id", depth=64)
-    return longs(lexical.ranked(found.select("query_id", "vec_id", F.round("score", 6).alias("score")), "query_id", "vec_id", K.TOP_K))
+    found = dense.top_cosines(rows, "vec_id", asked, "query_id", depth=K.TOP_K, digits=6)
+    return longs(found.select("query_id", "vec_id", "score", "rank"))
 
 
 @query(_bm25_sql(f""", dn AS (SELECT b.item_id, e.vec_id AS doc_id, {_COS} AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e),

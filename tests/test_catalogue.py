@@ -83,6 +83,14 @@ def test_entry_without_the_optional_parts(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=120)
 
 
+def test_cosine_topk_ranks_by_rounded_scores(spark, tmp_path):
+    """More vectors than are kept round to one score; the smallest numbers win."""
+    rows = [(i, [1.0, 0.0] if i == 0 else [1.0 - (200 - i) * 1e-9, 0.0]) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalogue.cosine_topk(spark, str(tmp_path)).where("query_id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(10))
+
+
 def test_retrieved_is_what_the_search_finds(spark, tmp_path):
     """The source of an answer is among its results, whatever both are numbered; answers without any stay."""
     docs = [(i, f"document{i} speaks of subject{i} and of nothing else") for i in range(40)]
