@@ -33,7 +33,7 @@ def letter_classes() -> np.ndarray:
     """Of each code point: its lower case if that is one letter, else 32."""
     if not _CLASS:
         table = np.full(0x110000, 32, np.uint32)
-        for i in [*range(0x30000), *range(0xE0000, 0xE1000)]:
+        for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()

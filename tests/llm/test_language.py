@@ -57,3 +57,8 @@ def test_odd_rows(spark, odd_docs, no_docs):
     langs, matrix = L.prototypes(no_docs)
     assert langs == [] and {r["lang_pred"] for r in L.identify(odd_docs, langs, matrix).collect()} == {"und"}
     assert L.identify(no_docs, langs, matrix).count() == 0
+
+
+def test_letters_of_late_extensions():
+    table = L.letter_classes()
+    assert all(table[ord(c)] == ord(c) for c in "\U00030000\U00031350\U000323AF") and table[0x10FFFF] == 32
