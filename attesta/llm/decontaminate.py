@@ -44,7 +44,7 @@ def marked(text: Column, name: str = INSIDE) -> Column:
     out = F.regexp_replace(text, name, NAME)
     out = F.regexp_replace(F.lower(out), r"(?<=[0-9])[.,](?=[0-9])", "")
     out = F.regexp_replace(out, r"(?<![\p{L}\p{N}" + NAME + r"])(?=[0-9])", NUMBER)
-    return F.regexp_replace(out, r"(?<=[0-9])( ?)(?=(?:" + UNITS + r")(?![\p{L}\p{N}]))", " " + UNIT)
+    return F.regexp_replace(out, r"(?<=[0-9])( ?)[" + NAME + FIRST + r"]?(?=(?:" + UNITS + r")(?![\p{L}\p{N}]))", " " + UNIT)
 
 
 def tokens(marked_text: Column) -> Column:
@@ -73,7 +73,8 @@ def hashes_of(shape: Column) -> Column:
 def both_hashes(text: Column) -> Column:
     """(hashes, other): the token hashes of both templates, from one pass over the text."""
     shape = template(marked(F.regexp_replace(F.regexp_replace(text, INSIDE, NAME), ANYWHERE, FIRST), "(?!)"))
-    return let(shape, lambda x: F.struct(hashes_of(F.transform(x, lambda t: F.ltrim(t, F.lit(FIRST)))).alias("hashes"), F.transform(x, lambda t: F.xxhash64(F.when(t.startswith(FIRST), NAME).otherwise(t))).alias("other")))
+    plain = lambda t: F.when(t.startswith(FIRST), F.xxhash64(F.ltrim(t, F.lit(FIRST)))).otherwise(F.xxhash64(t))
+    return let(shape, lambda x: F.struct(F.transform(x, plain).alias("hashes"), F.transform(x, lambda t: F.xxhash64(F.when(t.startswith(FIRST), NAME).otherwise(t))).alias("other")))
 
 
 def rolled(hashes: Column, width: int) -> Column:
@@ -189,7 +190,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     small = n * 256 <= BROADCAST_BYTES
     keys = wanted.select("width", "hash", "item_id", "place", "length", "n_windows", F.col("first").alias("item_first"))
     hashed = docs.where("doc_id is not null and text is not null").select("doc_id", both_hashes(F.col("text")).alias("h")).select("doc_id", "h.hashes", "h.other")
-    each = F.flatten(F.array(*[windows(F.col("hashes"), F.col("other"), w) for w in (widths or [width])]))
+    each = F.concat(*[windows(F.col("hashes"), F.col("other"), w) for w in (widths or [width])])
     found = hashed.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.hash", "w.at", "w.width", "w.first")
     found = found.join(F.broadcast(keys) if small else keys, ["width", "hash"])
     first = F.col("first") & F.col("item_first")
