@@ -68,9 +68,9 @@ def test_first_words_that_change_apart(spark):
 
 def test_slots_outside_matched_windows(spark):
     """The document holds the first twenty tokens; `Smith` comes again where it goes on with other text."""
-    words = [f"w{i}" for i in range(30)]
+    words = [f"w{i}x" for i in range(30)]  # a name follows a letter
     words[11] = words[22] = "Smith"
-    other = [f"x{i}" for i in range(10)]
+    other = [f"y{i}x" for i in range(10)]
     assert found(spark, " ".join(words[:20] + other), " ".join(words[:14] + other), item=" ".join(words)) == [0]
 
 
