@@ -10,11 +10,13 @@ Its integral is the cumulative demand for that source's words, and the inverse o
 the middle of a copy is the copy's position. `training_order` sorts copies by position over ranges.
 
 Sums run in two levels, by source and bucket of the hash and then within a bucket, so a source that
-holds most rows is dealt over many tasks. What one task reads whole is a row for each source.
+holds most rows is dealt over many tasks; rows of null doc_id have a bucket for each size. Words are
+counted once, into a staged table. What one task reads whole is a row for each source.
 
 Null text has size 0 and is never taken; nor is any document of size 0. Null doc_id stands last in
-its source. Repeated rows each count. Rows of one doc_id, source and size are interchangeable. An
-empty table gives no rows. Extra columns are ignored.
+its source, by size. Repeated rows and rows of null doc_id each count, and each is taken by itself. Rows
+of one doc_id, source and size are interchangeable. An empty table gives no rows. Extra columns are
+ignored; `mixed_documents` returns them.
 """
 
 from __future__ import annotations
@@ -74,21 +76,24 @@ def source_targets(sized: DataFrame, weights: tuple, most: int) -> DataFrame:
     return rows.select("source", "source_size", "rank", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, schedules: tuple = SCHEDULES) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, schedules: tuple = SCHEDULES, row: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies array<struct<position, words>>) of each
-    row; copies are what the mix takes of it, first to last."""
-    n_words = F.regexp_count("text", F.lit(shared.WORD)).cast("long")
-    sized = docs.select("doc_id", "source", F.coalesce(n_words, F.lit(0).cast("long")).alias("size"))
-    sized = sized.withColumn("key", F.md5(F.col("doc_id").cast("string"))).withColumn("bucket", F.substring("key", 1, 3))
-    targets = source_targets(sized, weights, most)
+    row; copies are what the mix takes of it, first to last. `row` names a column that tells rows apart
+    and comes along as `row`."""
+    n_words = F.coalesce(F.regexp_count("text", F.lit(shared.WORD)).cast("long"), F.lit(0).cast("long"))
+    own = [F.col(row).alias("row")] if row else []
+    sized = docs.select("doc_id", "source", n_words.alias("size"), *own).withColumn("key", F.md5(F.col("doc_id").cast("string")))
+    sized = sized.withColumn("bucket", F.coalesce(F.substring("key", 1, 3), F.concat(F.lit("~"), F.lpad(F.col("size").cast("string"), 19, "0"))))
+    sized = shared.stage(sized, "sized")
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    earlier = W.partitionBy("source").orderBy(F.col("bucket").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = F.col("l.source").eqNullSafe(F.col("r.source"))
-    rows = rows.alias("l").join(sums.alias("r"), same & F.col("l.bucket").eqNullSafe(F.col("r.bucket"))).select("l.*", (F.col("inside") + F.col("offset")).alias("at"))
-    rows = rows.alias("l").join(targets.alias("r"), same).select("l.*", "r.source_size", "r.rank", "r.target")
+    sums = sums.alias("l").join(source_targets(sized, weights, most).alias("r"), same).select("l.*", "r.source_size", "r.rank", "r.target")
+    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *(["row"] if row else [])).rowsBetween(W.unboundedPreceding, -1)
+    rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.alias("l").join(shared.bounded(shared.stage(sums, "sums"), 96).alias("r"), same & (F.col("l.bucket") == F.col("r.bucket")))
+    rows = rows.select("l.*", (F.col("inside") + F.col("offset")).alias("at"), "r.source_size", "r.rank", "r.target")
     demand = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     rows = rows.withColumn("demand", demand)
     copies = []
@@ -100,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, schedules:
         copies.append(F.struct(F.when(words > 0, position).alias("position"), words.alias("words")))
     rows = rows.withColumn("copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", *(["row"] if row else []))
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -124,10 +129,15 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with how much of each and where, in order of position. Columns of
-    the mix replace those of the same names."""
-    plan = mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken", "copies")
-    own = [c for c in docs.columns if c not in plan.columns[1:] and c != "position"]
-    return by_first_position(docs.select(*own).join(plan, "doc_id"))
+    the mix replace those of the same names. Rows are told apart by a number that is written with them,
+    so repeated rows and rows of null doc_id each meet what is taken of them."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = shared.stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plan = mix(numbered, row=row).where("taken > 0").select(F.col("row").alias(row), "size", "source_size", "target", "taken", "copies")
+    own = [c for c in docs.columns if c not in plan.columns and c != "position"]
+    return by_first_position(numbered.select(row, *own).join(shared.bounded(shared.stage(plan, "plan"), 256), row).drop(row))
 
 
 def _time_sql(share: str, schedule: tuple) -> str:

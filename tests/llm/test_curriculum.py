@@ -74,5 +74,16 @@ def test_reruns_agree(spark, odd_docs):
 
 
 def test_clashing_columns(spark, odd_docs):
-    out = C.mixed_documents(spark, odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    out = C.mixed_documents(spark, odd_docs)
     assert len(out.columns) == len(set(out.columns)) and out.count() > 0
+
+
+def test_repeated_and_null_rows_are_taken_each(spark, odd_docs, no_docs):
+    """One row for each row that the mix takes, whatever its doc_id."""
+    plan = sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in C.mix(odd_docs).where("taken > 0").collect())
+    got = C.mixed_documents(spark, odd_docs).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in got) == plan
+    assert all(len((r["text"] or "").split()) == r["size"] for r in got) and sum(r["doc_id"] == 2 for r in got) > 1
+    docs = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", "s"), (None, "f g h i", "s")], "doc_id long, text string, source string")
+    assert sorted((str(r["doc_id"]), r["text"], r["taken"]) for r in C.mixed_documents(spark, docs).collect()) == [("1", "a b c", 3)] * 3 + [("None", "d e", 2), ("None", "f g h i", 4)]
+    assert C.mixed_documents(spark, no_docs).count() == 0
