@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 DIMS, UNKNOWN = 1024, "und"
-_PIECE = 1 << 18
+#: Code points of a text that are looked at together.
+PIECE = 1 << 18
 _CLASS: list[np.ndarray] = []
 
 
@@ -58,24 +59,23 @@ def bound(trigrams: np.ndarray) -> np.ndarray:
     return np.roll(vectors, 2, 1)[at[0]] * np.roll(vectors, 1, 1)[at[1]] * vectors[at[2]]
 
 
-def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams of the whole text and how often they occur; taken in pieces."""
+def trigram_counts(text: str, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of the whole text and how often they occur. Taken in pieces, each of which goes on
+    from the two last letters of the one before, so the cuts change nothing."""
     table = letter_classes()
     found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for at in range(0, max(1, len(text)), _PIECE):
-        piece = table[np.frombuffer(text[max(0, at - 2) : at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if at == 0:
-            piece = np.append(np.uint32(32), piece)
-        if at + _PIECE >= len(text):
-            piece = np.append(piece, np.uint32(32))
-        piece = piece[np.append(True, (piece[1:] != 32) | (piece[:-1] != 32))].astype(np.uint64)
-        if len(piece) < 3 or (piece == 32).all():
+    before = np.array([32], np.uint32)
+    for at in range(0, max(1, len(text)), piece):
+        new = table[np.frombuffer(text[at : at + piece].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        new = np.concatenate([before, new, np.full(int(at + piece >= len(text)), 32, np.uint32)])
+        new = new[np.append(True, (new[1:] != 32) | (new[:-1] != 32))].astype(np.uint64)
+        before = new[-2:].astype(np.uint32)
+        if len(new) < 3:
             continue
-        t = (piece[:-2] << np.uint64(42)) | (piece[1:-1] << np.uint64(21)) | piece[2:]
-        f, n = np.unique(t, return_counts=True)
+        f, n = np.unique((new[:-2] << np.uint64(42)) | (new[1:-1] << np.uint64(21)) | new[2:], return_counts=True)
         if len(found):
-            f, at_ = np.unique(np.concatenate([found, f]), return_inverse=True)
-            n = np.bincount(at_, np.concatenate([counts, n])).astype(np.int64)
+            f, place = np.unique(np.concatenate([found, f]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
         found, counts = f, n
     return found, counts
 
