@@ -41,6 +41,8 @@ from . import shared
 BUCKETS = 1 << 20
 #: Members of a block; blocks of a list up to which all pairs of them are units; blocks that hang on one.
 BLOCK, PAIRS, FAN = 256, 16, 32
+#: Bits of a hash that prefixes do without: they only find candidates, and less is shuffled.
+CUT = 16
 #: DivideSkip's weight of probing against merging.
 MU = 0.01
 #: What a member is to a unit: one of all that are compared; one that asks; in the list's main component;
@@ -78,8 +80,9 @@ def frequent_buckets(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.uint64), total[found]
 
 
-def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, prefix) of each row: set size, digest of the set, rarest shingles."""
+def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray], cut: int = CUT) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, prefix, lost) of each row: set size, digest of the set, rarest shingles
+    with cut hashes, and how many of those became equal by the cut."""
     buckets, counts = frequent
 
     def rare_first(s: np.ndarray, n: int) -> np.ndarray:
@@ -90,25 +93,23 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: tuple[np.n
         weight = np.where(buckets[at] == b, counts[at], 0)
         return s[np.lexsort((s, weight))[:n]]
 
-    def short(s: np.ndarray) -> np.ndarray:
-        """Prefixes only find candidates: 48 bits of a hash will do, and what shuffles is a quarter less."""
-        return np.unique(s >> np.uint64(16)).astype(np.int64)
-
     def sign(batches):
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             d = np.zeros((batch.num_rows, 2), np.int64)
-            prefix = [np.zeros(0, np.int64)] * batch.num_rows
+            prefix, lost = [np.zeros(0, np.int64)] * batch.num_rows, np.zeros(batch.num_rows, np.int32)
             for i, s in shingle_sets(batch, k):
                 n[i] = len(s)
                 d[i] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                prefix[i] = short(rare_first(s, len(s) - least_common(len(s), num, den) + prefix_share(len(s), num, den)))
+                rare = rare_first(s, len(s) - least_common(len(s), num, den) + prefix_share(len(s), num, den))
+                prefix[i] = np.unique(rare >> np.uint64(cut)).astype(np.int64)
+                lost[i] = len(rare) - len(prefix[i])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), shared.lists(prefix, pa.int64())],
-                ["doc_id", "n_shingles", "d1", "d2", "prefix"],
+                [batch.column("doc_id"), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), shared.lists(prefix, pa.int64()), pa.array(lost)],
+                ["doc_id", "n_shingles", "d1", "d2", "prefix", "lost"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(shared.lean(sign), "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(shared.lean(sign), "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>, lost int")
 
 
 # ---------------------------------------------------------------- search in a unit
@@ -161,11 +162,12 @@ def prefix_share(n: int, num: int, den: int) -> int:
     return 1 + (n - least_common(n, num, den)) // 2
 
 
-def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: int, den: int, prefixes: bool = False, roles: list[int] | None = None) -> list[tuple[int, int]]:
+def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: int, den: int, prefixes: bool = False, roles: list[int] | None = None, lost: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect what is connected among these sets; of prefixes, pairs that may link. Where some
-    ask, only their links are wanted, and those in the main component are connected already."""
+    ask, only their links are wanted, and those in the main component are connected already. What a set
+    lost by cut hashes it need not share."""
     order = sorted(range(len(sets)), key=lambda i: (sizes[i], ids[i]))
-    sets, ids, sizes = ([x[i] for i in order] for x in (sets, ids, sizes))
+    sets, ids, sizes, lost = ([x[i] for i in order] for x in (sets, ids, sizes, lost or [0] * len(sets)))
     roles = [roles[i] for i in order] if roles else [PLAIN] * len(sets)
     some = ASKS in roles
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -200,7 +202,7 @@ def unit_links(ids: list[int], sizes: list[int], sets: list[np.ndarray], num: in
         else:  # with one as large or larger
             least = (prefix_share if prefixes else least_common)(n, num, den)
             mine = [x[bisect.bisect_right(x, q) :] for x in map(lists.__getitem__, tokens[q].tolist())]
-        mine = [x for x in mine if x]
+        mine, least = [x for x in mine if x], max(1, least - lost[q])
         if len(mine) < least:
             continue
         here = find(q)
@@ -262,18 +264,19 @@ def linked(lists: DataFrame, key: str, member: str, search) -> DataFrame:
 
 
 def searched(rows: DataFrame, find) -> DataFrame:
-    """(a, b): what find(ids, sizes, sets, roles) gives for each unit of (u1, u2, id, role, size, shingles) rows."""
+    """(a, b): what find(ids, sizes, sets, roles, lost) gives for each unit of UNIT rows."""
 
     def search(batches):
         for unit in shared.runs(batches, "u1"):
             parts: dict[int, dict] = {}
-            for u2, i, role, n, raw in zip(*(unit.column(c).to_pylist() for c in ("u2", "id", "role", "size", "shingles"))):
+            for u2, i, role, n, gone, raw in zip(*(unit.column(c).to_pylist() for c in ("u2", "id", "role", "size", "lost", "shingles"))):
                 part = parts.setdefault(u2, {})
-                part[i, n, raw] = min(part.get((i, n, raw), role), role)  # who asks may be asked too
+                part[i, n, gone, raw] = min(part.get((i, n, gone, raw), role), role)  # who asks may be asked too
             for part in parts.values():
                 if len(part) < 2:
                     continue
-                pairs = find([i for i, _, _ in part], [n for _, n, _ in part], [np.frombuffer(raw, np.uint64) for _, _, raw in part], list(part.values()))
+                ids, sizes, lost, sets = zip(*part)
+                pairs = find(ids, sizes, [np.frombuffer(raw, np.uint64) for raw in sets], list(part.values()), lost)
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
@@ -284,10 +287,10 @@ def packed(batches):
     """Arrays of longs as bytes."""
     for batch in batches:
         flat = [np.array(x, np.int64).tobytes() for x in batch.column("tokens").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u1", "u2", "id", "role", "size")] + [pa.array(flat, pa.binary())], ["u1", "u2", "id", "role", "size", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("u1", "u2", "id", "role", "size", "lost")] + [pa.array(flat, pa.binary())], ["u1", "u2", "id", "role", "size", "lost", "shingles"])
 
 
-UNIT = "u1 long, u2 int, id long, role int, size long, shingles binary"
+UNIT = "u1 long, u2 int, id long, role int, size long, lost int, shingles binary"
 
 
 def candidates(signed: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -296,20 +299,20 @@ def candidates(signed: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     postings = reps.select("rep", F.explode("prefix").alias("token"))
     common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     useful = postings.join(common, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("useful"))
-    useful = useful.join(reps.select("rep", "n_shingles"), "rep")
+    useful = useful.join(reps.select("rep", "n_shingles", "lost"), "rep")
     # partners share this many of what is left; so they share one of the rarest but for those
     own = f"({num} * n_shingles + {den - 1}) div {den}"
-    least = F.expr(f"cast(1 + (({own}) - ({num} * ({own}) + {den - 1}) div {den}) div 2 as int)")
+    least = F.expr(f"cast(greatest(1, 1 + (({own}) - ({num} * ({own}) + {den - 1}) div {den}) div 2 - lost) as int)")
     useful = useful.withColumn("least", least).where(F.size("useful") >= F.col("least"))
     keys = F.slice("useful", F.lit(1), F.size("useful") - F.col("least") + 1)
-    useful = shared.stage(useful.select("rep", "n_shingles", F.col("useful.token").alias("tokens"), F.transform(keys, lambda u: u["token"]).alias("keys")), "useful")
+    useful = shared.stage(useful.select("rep", "n_shingles", "lost", F.col("useful.token").alias("tokens"), F.transform(keys, lambda u: u["token"]).alias("keys")), "useful")
     lists = useful.select("rep", F.explode("keys").alias("token"))
     firsts = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("token", "first")
-    kept = useful.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), "tokens")
+    kept = useful.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), "lost", "tokens")
 
     def search(units: DataFrame) -> DataFrame:
-        rows = units.join(kept, "id").select("u1", "u2", "id", "role", "size", "tokens").mapInArrow(shared.lean(packed), UNIT)
-        return searched(rows, lambda ids, sizes, sets, roles: unit_links(ids, sizes, sets, num, den, True, roles))
+        rows = units.join(kept, "id").select("u1", "u2", "id", "role", "size", "lost", "tokens").mapInArrow(shared.lean(packed), UNIT)
+        return searched(rows, lambda ids, sizes, sets, roles, lost: unit_links(ids, sizes, sets, num, den, True, roles, lost))
 
     return linked(lists.join(firsts, "token").select("first", "rep").distinct(), "first", "rep", search)
 
@@ -325,7 +328,7 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: i
             rows, held = [], 0
             for i, s in shingle_sets(batch, k):
                 raw = s.tobytes()
-                rows += [(u["u1"], u["u2"], ids[i], u["role"], len(s), raw) for u in of[i]]
+                rows += [(u["u1"], u["u2"], ids[i], u["role"], len(s), 0, raw) for u in of[i]]
                 held += len(raw)
                 if held > 1 << 24:
                     yield _unit_rows(rows)
@@ -339,21 +342,21 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, k: int, num: i
         small = 24 * (n_units or 0) + 32 * n_members <= shared.BROADCAST_BYTES
         wanted = docs.select("doc_id", "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("id"))
         rows = wanted.select("doc_id", "text", "units").mapInArrow(shared.lean(ship), UNIT)
-        return searched(rows, lambda ids, sizes, sets, roles: unit_links(ids, sizes, sets, num, den, False, roles))
+        return searched(rows, lambda ids, sizes, sets, roles, lost: unit_links(ids, sizes, sets, num, den, False, roles))
 
     return linked(groups, "component", "node", search)
 
 
 def _unit_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["u1", "u2", "id", "role", "size", "shingles"])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["u1", "u2", "id", "role", "size", "lost", "shingles"])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, cut: int = CUT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of each row: the size of its shingle set, the
     smallest doc_id with the same set and the smallest reachable by links."""
     shared.small_batches(docs.sparkSession)
-    signed = shared.stage(signatures(docs, k, num, den, frequent_buckets(docs, k)), "signatures")
+    signed = shared.stage(signatures(docs, k, num, den, frequent_buckets(docs, k), cut), "signatures")
     # a table of its own, so that a class of very many copies can be split where it is joined
     classes = shared.stage(signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
     found = shared.components(links(docs, signed, classes, k, num, den))
