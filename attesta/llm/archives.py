@@ -5,7 +5,9 @@ one of the largest page_id is a response and the others revisit it; all other pa
 Payloads go in chunked transfer framing, and blocks over `segment` bytes are cut into a response and
 continuations (WARC/1.1, ISO 28500). Files hold a bounded number of records of bounded size.
 
-`read_archives` parses records by their Content-Length, so payloads may hold anything. Records that
+`read_archives` parses records by their Content-Length, so payloads may hold anything. Gzipped files, of
+one member or many, are streamed a record at a time, whatever their size; others are read whole, up to
+the 2 GB of a binary value. Records that
 name an origin are grouped by it, ordered by segment number and checked: numbers run from 1, and the
 last gives the total length, which must be that of the parts. Then the chunked framing is taken off
 and the payload digest is checked. `status` is ok, missing segment, wrong length, bad framing or
@@ -19,11 +21,11 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import itertools
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +39,9 @@ END = b"\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\nX-Payload-Length: %d\r\n\r\n"
 
 
-def record_id(page_id: int | None, url: str | None, digest: str) -> str:
-    """A URN that names the page and tells pages of one page_id apart."""
-    return f"urn:page:{'' if page_id is None else page_id}:{hashlib.md5(f'{url}|{digest}'.encode('utf-8', 'replace')).hexdigest()[:16]}"
+def record_id(page_id: int | None, mark: str) -> str:
+    """A URN that names the page; the mark tells pages of one page_id apart."""
+    return f"urn:page:{'' if page_id is None else page_id}:{mark}"
 
 
 def page_of(urn: str | None) -> int | None:
@@ -96,26 +98,30 @@ def records_of(urn: str, url: str | None, kind: str, refers_to: str | None, dige
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT) -> None:
     """Writes the pages as gzipped WARC files under the path."""
+    shared.small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    mark = F.substring(F.md5(F.concat_ws("|", "url", "digest")), 1, 16)
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("mark", mark)
     long = rows.where(F.octet_length("payload") >= least)
-    copies = long.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper"), F.max(F.struct("page_id", "url")).alias("kept"))
-    copies = copies.where("n > 1 and keeper is not null").select(F.col("digest").alias("of"), "keeper", F.col("kept.url").alias("kept_url"))
+    copies = long.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper"), F.max(F.struct("page_id", "mark")).alias("kept"))
+    copies = copies.where("n > 1 and keeper is not null").select(F.col("digest").alias("of"), "keeper", F.col("kept.mark").alias("keeper_mark"))
+    # few digests come again: payloads stay where they are
+    copies = shared.bounded(shared.stage(copies, "copies"), 128)
     rows = rows.join(copies, (F.col("digest") == F.col("of")) & (F.octet_length("payload") >= least), "left")
 
     def write(batches):
         for batch in batches:
             out: list[bytes] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "keeper", "kept_url"))):
-                page, url, payload, digest, keeper, kept_url = row
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "mark", "keeper", "keeper_mark"))):
+                page, url, payload, digest, mark, keeper, keeper_mark = row
                 revisit = keeper is not None and page != keeper
                 block = HTTP % len(payload) + (b"" if revisit else chunked(payload))
-                refers_to = record_id(keeper, kept_url, digest) if revisit else None
-                out += records_of(record_id(page, url, digest), url, "revisit" if revisit else "response", refers_to, digest, block, segment)
+                refers_to = record_id(keeper, keeper_mark) if revisit else None
+                out += records_of(record_id(page, mark), url, "revisit" if revisit else "response", refers_to, digest, block, segment)
             for at in range(0, len(out), RECORDS_PER_FILE):
                 yield pa.RecordBatch.from_arrays([pa.array(out[at : at + RECORDS_PER_FILE], pa.binary())], ["record"])
 
-    records = rows.select("page_id", "url", "payload", "digest", "keeper", "kept_url").mapInArrow(shared.lean(write), "record binary")
+    records = rows.select("page_id", "url", "payload", "digest", "mark", "keeper", "keeper_mark").mapInArrow(shared.lean(write), "record binary")
     text = records.select(F.col("record").cast("string").alias("value"))
     text.write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, compression="gzip")
 
@@ -125,44 +131,67 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, digest string, origin_id string, number int, total long, block binary"
 
 
-def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The fields, by lower-case name, and the block of each record."""
-    at = 0
-    while (at := content.find(b"WARC/", at)) >= 0:
-        line = content.find(b"\r\n", at)
-        close = content.find(END, at)
-        if close < 0:
-            return
-        fields = {}
-        for field in content[line + 2 : close].decode("utf-8", "replace").split("\r\n"):
-            name, _, value = field.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        n = int(fields.get("content-length", "0"))
-        yield fields, content[close + 4 : close + 4 + n]
-        at = close + 4 + n
+def fields_of(head: bytes) -> dict[str, str]:
+    """The fields of a record's head, by lower-case name."""
+    pairs = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}
+
+
+def records_in(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The fields and the block of each record, from what stands between the blank lines of an archive.
+    A block goes on over blank lines until it has the length that its head tells."""
+    fields, parts, held, need = None, [], 0, 0
+    for piece in pieces:
+        while piece is not None:
+            if fields is None:
+                at = piece.find(b"WARC/")
+                if at < 0:
+                    break
+                fields, parts, held = fields_of(piece[at:]), [], 0
+                need, piece = int(fields.get("content-length", "0")), None
+            else:
+                parts += [END, piece] if parts else [piece]
+                held += len(piece) + (len(END) if len(parts) > 1 else 0)
+                piece = None
+            if fields is not None and held >= need:
+                block = b"".join(parts)
+                yield fields, block[:need]
+                fields, piece = None, block[need:] or None
+    if fields is not None and parts:
+        yield fields, b"".join(parts)
+
+
+def record_batches(found: Iterable[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for f, block in found:
+        number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+        origin = f.get("warc-segment-origin-id") or (f.get("warc-record-id") if number else None)
+        rows.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest"), origin, int(number) if number else None, int(total) if total else None, block))
+        held += len(block)
+        if held > 1 << 23:
+            yield _record_rows(rows)
+            rows, held = [], 0
+    if rows:
+        yield _record_rows(rows)
 
 
 def archive_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all files under the path as they stand, segments apart."""
 
-    def parse(batches):
+    def whole(batches):
         for batch in batches:
             for content in batch.column("content"):
-                rows, held = [], 0
-                raw = content.as_py()
-                for f, block in parsed(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                    number = f.get("warc-segment-number")
-                    total = f.get("warc-segment-total-length")
-                    origin = f.get("warc-segment-origin-id") or (f.get("warc-record-id") if number else None)
-                    rows.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest"), origin, int(number) if number else None, int(total) if total else None, block))
-                    held += len(block)
-                    if held > 1 << 23:
-                        yield _record_rows(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _record_rows(rows)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(shared.lean(parse), RECORD)
+                yield from record_batches(records_in(content.as_py().split(END)))
+
+    def streamed(batches):
+        pieces = ((f, p) for batch in batches for f, p in zip(batch.column("file").to_pylist(), batch.column("piece").to_pylist()))
+        for _, of_file in itertools.groupby(pieces, lambda x: x[0]):  # a file lies in one task, in order
+            yield from record_batches(records_in(p for _, p in of_file))
+
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).select("content").mapInArrow(shared.lean(whole), RECORD)
+    zipped = spark.read.option("lineSep", END.decode()).option("pathGlobFilter", "*.gz").text(path)
+    zipped = zipped.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    return zipped.mapInArrow(shared.lean(streamed), RECORD).union(plain)
 
 
 def _record_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -240,7 +269,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared.shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     rows = read_archives(spark, path)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")

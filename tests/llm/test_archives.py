@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import duckdb
@@ -39,6 +40,23 @@ def test_repeated_rows_and_none(spark, tmp_path):
     assert [(r["record_type"], r["status"]) for r in got] == [("response", "ok")] * 3
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Plain files, gzip members a record, and blocks that end in parts of the separator."""
+    bodies = [b"", b"x", b"x\r\n", b"x\r\n\r", b"\r\n\r\n", b"a\r\n\r\nWARC/1.0\r\n\r\nb", b"end\r\n\r\n"]
+    raw = [A.header([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>"), ("Content-Length", len(b))]) + b + A.END for i, b in enumerate(bodies)]
+    (tmp_path / "a.warc").write_bytes(b"".join(raw))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, raw)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(raw)))
+    got = sorted((r["record_id"], bytes(r["block"])) for r in A.archive_records(spark, f"file://{tmp_path}").collect())
+    assert got == sorted((f"<{i}>", b) for i, b in enumerate(bodies) for _ in range(3))
+
+
+def test_null_id_beside_others(spark, tmp_path):
+    """A page of null page_id revisits the response of the others; alone it is the response."""
+    got = write_and_read(spark, [(None, "u", BIG, "", ""), (4, "v", BIG, "", ""), (None, "w", BIG[:-1], "", "")], tmp_path)
+    assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in got) == [("4", "response", None), ("None", "response", None), ("None", "revisit", 4)]
+
+
 def test_empty_table(spark, tmp_path):
     assert write_and_read(spark, [], tmp_path) == []
 
@@ -48,7 +66,7 @@ def test_broken_segments(change, status):
     block = A.HTTP % 20_000 + A.chunked(b"z" * 20_000)
     segments = []
     for raw in A.records_of("urn:page:4:0123456789abcdef", "u", "response", None, hashlib.sha1(b"z" * 20_000).hexdigest(), block, 3000):
-        (f, b), = A.parsed(raw)
+        (f, b), = A.records_in(raw.split(A.END))
         total = f.get("warc-segment-total-length")
         segments.append({"origin_id": f.get("warc-segment-origin-id") or f["warc-record-id"], "record_type": f["warc-type"], "target_uri": "u", "refers_to": None, "digest": f.get("warc-payload-digest"), "number": int(f["warc-segment-number"]), "total": int(total) if total else None, "block": b})
     ok, = A.assembled(segments)
