@@ -64,8 +64,8 @@ def _length(bpe, text: str) -> int:
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """(n_tokens, n_docs, tokens, docs_at_least, tokens_at_least, total_cut, docs_below_share) of each
-    length that occurs."""
-    rows = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    length that occurs. The counts are staged: two branches read them, and texts are encoded once."""
+    rows = shared.stage(lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram")
     rows = rows.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     sums = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = W.orderBy(F.col("block").desc()).rowsBetween(W.unboundedPreceding, -1)
