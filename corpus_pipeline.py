@@ -38,11 +38,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = shared.stage(docs, f"pipeline{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        mark, before = shared.made(), docs
+        docs = shared.stage(stage(spark, docs, sf_dir), f"pipeline{i}")
+        shared.sweep(spark, mark, docs)
+        shared.unstage(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: SQL can't express the fitted quality models.
