@@ -16,6 +16,7 @@ from ..functions import columns as C
 from ..functions import constants as K
 from ..functions import exact
 from ..operators import analytics, analyze, attribution, dense, lexical, ruler, workbench
+from ..sources import staging
 from ..sources.corpus import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,7 +135,7 @@ SELECT term, df, occurrences, round(ln((CAST(n AS DOUBLE) - df + {_D.format(0.5)
 round(CAST(occurrences AS DOUBLE) / (SELECT count(*) FROM t), 6) AS share FROM s, n WHERE df * 2 > n""")
 def df_regime(spark, sf_dir):
     """Words in more than half of the documents, of which the classic weight is negative."""
-    docs = lexical.with_terms(table(spark, sf_dir, "documents"))
+    docs = lexical.indexed(table(spark, sf_dir, "documents"), "doc_id")
     stats = lexical.corpus_stats(docs)
     rows = lexical.df_regime(lexical.postings(docs, "doc_id"), stats).crossJoin(docs.agg(F.sum(F.size("terms")).alias("all"))).crossJoin(stats.select("n"))
     share = F.col("occurrences").cast("double") / F.col("all").cast("double")
@@ -145,7 +146,7 @@ def df_regime(spark, sf_dir):
 
 
 def _searched(spark, sf_dir) -> DataFrame:
-    docs, items = (lexical.with_terms(table(spark, sf_dir, t)) for t in ("documents", "benchmark"))
+    docs, items = (lexical.indexed(table(spark, sf_dir, t), k) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     return lexical.bm25(docs, "doc_id", items, "item_id", digits=6)
 
 
@@ -268,14 +269,14 @@ def elementary_pieces(spark, sf_dir):
     return longs(workbench.pieces(*_marked(spark, sf_dir), "doc_id"))
 
 
-@query(f"""WITH {_MARKS}, d AS (SELECT doc_id, length(text) // 4 AS s, length(text) // 2 AS e FROM documents),
+@query(f"""WITH {_MARKS}, d AS (SELECT doc_id, 0 AS s, length(text) AS e FROM documents),
 o AS (SELECT d.doc_id, k.kind, CASE WHEN k.kind IS NOT NULL AND d.e > d.s THEN CAST(least(d.e, k.e) - greatest(d.s, k.s) AS DOUBLE) / (d.e - d.s) ELSE {_D.format(0.0)} END AS part, d.e > d.s AS filled FROM d LEFT JOIN k ON d.doc_id = k.doc_id AND k.s < d.e AND d.s < k.e)
 SELECT doc_id AS span, {', '.join(f"round(sum(CASE WHEN kind = '{k}' THEN part ELSE {_D.format(0.0)} END), 6) AS {k}" for k in ruler.KINDS)},
 round(max(CASE WHEN filled THEN {_D.format(1.0)} ELSE {_D.format(0.0)} END) - sum(part), 6) AS plain FROM o GROUP BY 1""")
 def class_mass(spark, sf_dir):
-    """What kinds of regions the second quarter of each document consists of."""
+    """What kinds of regions each document consists of."""
     docs, marks = _marked(spark, sf_dir)
-    spans = docs.select(F.col("doc_id").alias("span"), "doc_id", F.floor(F.col("length") / 4).alias("start"), F.floor(F.col("length") / 2).alias("end"))
+    spans = docs.select(F.col("doc_id").alias("span"), "doc_id", F.lit(0).alias("start"), F.col("length").alias("end"))
     return ruler.class_mass(spans, marks, digits=6)
 
 
@@ -304,26 +305,36 @@ def corpus_profile(spark, sf_dir):
 # ---------------------------------------------------------------- attribution
 
 
+def _turns(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer"), "text")
+
+
+def _found(turns: DataFrame, docs: DataFrame) -> DataFrame:
+    """(answer, doc_id, rank) that the search by BM25 finds for the turns in all documents, given by their terms."""
+    return lexical.ranked(lexical.bm25(docs, "doc_id", lexical.indexed(turns, "answer"), "answer", digits=6), "answer", "doc_id", K.TOP_K)
+
+
 def _answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Assistant turns as answers, cut at full stops to clauses, and ten documents as candidates of each:
-    documents and conversations meet by their remainders modulo a tenth of the number of documents."""
-    docs = table(spark, sf_dir, "documents")
-    groups = docs.agg(F.greatest(F.lit(1), F.floor(F.count("*") / 10)).alias("groups"))
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer"), "conv_id", "text")
+    """Assistant turns as answers, cut at full stops to clauses, and what the search finds for each turn in all
+    documents as its candidates."""
+    docs, turns = lexical.indexed(table(spark, sf_dir, "documents"), "doc_id"), _turns(spark, sf_dir)
     clauses = turns.select("answer", F.posexplode(F.split("text", r"\.")).alias("clause", "text"))
     clauses = lexical.with_terms(clauses).where("size(terms) > 0").select("answer", "clause", F.array_distinct("terms").alias("terms"))
-    held = lexical.with_terms(docs).select(F.col("doc_id").alias("cand"), F.array_distinct("terms").alias("terms"))
-    held = held.crossJoin(groups).withColumn("g", F.col("cand") % F.col("groups")).drop("groups")
-    meet = turns.select("answer", "conv_id").crossJoin(groups).select("answer", (F.col("conv_id") % F.col("groups")).alias("g"))
-    return clauses, meet.join(held, "g").select("answer", "cand", "terms")
-
-
-_ANSWERS = f"""g AS (SELECT greatest(1, count(*) // 10) AS groups FROM documents),
-t AS (SELECT conv_id * 1000 + turn AS answer, conv_id, text FROM conversations WHERE role = 'assistant'),
+    held = _found(turns, docs).select("answer", F.col("doc_id").alias("cand")).join(docs.select(F.col("doc_id").alias("cand"), F.array_distinct("terms").alias("terms")), "cand")
+    return staging.stage(clauses, "clauses"), staging.stage(held.select("answer", "cand", "terms"), "candidates")
+
+
+_ANSWERS = f"""t AS (SELECT conv_id * 1000 + turn AS answer, text FROM conversations WHERE role = 'assistant'),
+bd AS ({_terms_sql('documents', 'doc_id')}), bq AS ({_terms_sql('t', 'answer')}), bl AS (SELECT doc_id, count(*) AS len FROM bd GROUP BY 1),
+bt AS (SELECT doc_id, term, count(*) AS tf FROM bd GROUP BY 1, 2), bf AS (SELECT term, count(*) AS df FROM bt GROUP BY 1),
+bn AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT CAST(count(*) AS DOUBLE) FROM bd) / (SELECT count(*) FROM documents) AS average),
+bw AS (SELECT answer, term, count(*) AS qtf FROM bq GROUP BY 1, 2),
+bs0 AS (SELECT answer, doc_id, round(sum(qtf * {_IDF.format(n='n', df='df')} * (tf * {_D.format(K.BM25_K1 + 1)}) / (tf + {_D.format(K.BM25_K1)} * ({_D.format(1 - K.BM25_B)} + {_D.format(K.BM25_B)} * (CAST(len AS DOUBLE) / average)))), 6) AS score
+       FROM bw JOIN bt USING (term) JOIN bf USING (term) JOIN bl USING (doc_id), bn GROUP BY 1, 2),
+m AS (SELECT answer, doc_id AS cand FROM (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY score DESC, doc_id) AS rank FROM bs0 WHERE score > 0) WHERE rank <= {K.TOP_K}),
 c0 AS (SELECT answer, unnest(string_split(text, '.')) AS text, generate_subscripts(string_split(text, '.'), 1) - 1 AS clause FROM t),
 c1 AS (SELECT answer, clause, unnest({_WORDS.format('text')}) AS w FROM c0), cl AS (SELECT DISTINCT answer, clause, {_stem_sql('w')} AS term FROM c1),
 dt AS (SELECT DISTINCT doc_id AS cand, {_stem_sql('w')} AS term FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents)),
-m AS (SELECT t.answer, d.doc_id AS cand FROM t, g, documents d WHERE t.conv_id % g.groups = d.doc_id % g.groups),
 ca AS (SELECT m.answer, m.cand, dt.term FROM m JOIN dt USING (cand)), n AS (SELECT answer, count(*) AS n FROM m GROUP BY 1),
 f AS (SELECT answer, term, count(*) AS df, n FROM ca JOIN n USING (answer) GROUP BY 1, 2, n),
 wt AS (SELECT cl.answer, clause, cand, round(sum({_IDF.format(n='n', df='df')}), 6) AS weight, round(sum({_IDF.format(n='n', df='greatest(df, 1)')}), 6) AS carried
@@ -485,16 +496,17 @@ def run_report(spark, sf_dir):
     return ruler.run_report(_scored(spark, sf_dir).withColumn("variant", F.col("fixture") % 2), ["variant"])
 
 
-@query("""WITH x AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations), y AS (SELECT *, n // 4 AS a, n // 2 AS b FROM x),
+@query("""WITH x AS (SELECT conv_id, turn, text, length(text) AS n, unnest(range(4)) AS quarter FROM conversations), y AS (SELECT *, n * quarter // 4 AS a, n * (quarter + 1) // 4 AS b FROM x),
 z AS (SELECT *, octet_length(encode(substring(text, 1, a))) AS sb, octet_length(encode(substring(text, 1, b))) + CASE WHEN turn % 3 = 1 THEN 1 ELSE 0 END AS eb, substring(text, a + 1, b - a) AS seg FROM y)
-SELECT conv_id, turn, CASE WHEN eb > octet_length(encode(text)) THEN 'position' WHEN turn % 3 = 1 THEN 'position' END AS violation, CAST(eb - sb - octet_length(encode(seg)) AS BIGINT) AS length_delta FROM z""")
+SELECT conv_id, turn, quarter, CASE WHEN eb > octet_length(encode(text)) THEN 'position' WHEN turn % 3 = 1 THEN 'position' END AS violation, CAST(eb - sb - octet_length(encode(seg)) AS BIGINT) AS length_delta FROM z""")
 def parse_checks(spark, sf_dir):
-    """Every turn as a part of which the second quarter is marked, in every third with an end one byte late."""
-    n = F.char_length("text")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("part_text"), F.floor(n / 4).cast("int").alias("a"), F.floor(n / 2).cast("int").alias("b"))
+    """Every turn as a part of which each quarter is marked, in every third with an end one byte late."""
+    n, quarter = F.char_length("text"), F.col("quarter")
+    rows = table(spark, sf_dir, "conversations").withColumn("quarter", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    rows = rows.select("conv_id", "turn", "quarter", F.col("text").alias("part_text"), F.floor(n * quarter / 4).cast("int").alias("a"), F.floor(n * (quarter + 1) / 4).cast("int").alias("b"))
     head = lambda c: F.octet_length(F.substring(F.col("part_text"), F.lit(1), F.col(c)))
     rows = rows.withColumns({"start_byte": head("a"), "end_byte": head("b") + F.when(F.col("turn") % 3 == 1, 1).otherwise(0), "segment_text": F.substring(F.col("part_text"), F.col("a") + 1, F.col("b") - F.col("a"))})
-    return longs(ruler.parse_checks(rows).select("conv_id", "turn", "violation", "length_delta"))
+    return longs(ruler.parse_checks(rows).select("conv_id", "turn", "quarter", "violation", "length_delta"))
 
 
 @query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) END AS custom, source AS title FROM documents),
@@ -647,12 +659,14 @@ def vector_codec(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, packed string, same boolean")
 
 
-@query()
+@query(r"""WITH h AS (SELECT doc_id, unnest([substring(text, 1, length(text) // 2), substring(text, length(text) // 2 + 1, length(text))]) AS p FROM documents),
+f AS (SELECT doc_id AS quote_id, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS piece FROM h) SELECT quote_id, piece, CAST(1 AS BIGINT) AS n_holders FROM f WHERE length(piece) >= 25""")
 def quote_pieces(spark, sf_dir):
-    """Every tenth of a document's text that follows a gap, cut into the longest pieces that it holds."""
+    """Every document quoted whole, with an elision in its middle, cut into the longest pieces that it holds."""
     docs = table(spark, sf_dir, "documents")
     n = F.char_length("text")
-    quote = F.concat(F.substring("text", F.lit(1), F.floor(n / 3).cast("int")), F.lit(" [...] "), F.substring("text", F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")))
+    half = F.floor(n / 2).cast("int")
+    quote = F.concat(F.substring("text", F.lit(1), half), F.lit(" [...] "), F.substring("text", half + 1, n))
     passages = F.array(F.struct(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"), "text"))
     rows = analytics.quotes_found(docs.select(F.col("doc_id").alias("quote_id"), quote.alias("quote"), passages.alias("passages")))
     return rows.select("quote_id", "piece", F.size("holders").cast("long").alias("n_holders"))
@@ -681,7 +695,7 @@ def sentences_full(spark, sf_dir):
 @query()
 def chunks_full(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return analyze.chunks(analyze.analyze(docs, with_tokens=False), docs).select("doc_id", "chunk_index", "chunk_id", "ordinal", "start", "end", "content_hash", "text")
+    return analyze.chunks(analyze.analyze(docs, with_tokens=False)).select("doc_id", "chunk_index", "chunk_id", "ordinal", "start", "end", "content_hash", "text")
 
 
 @query()
@@ -692,9 +706,8 @@ def tokens_full(spark, sf_dir):
 
 def _retrieved(spark, sf_dir) -> DataFrame:
     """Assistant turns with what the search by BM25 finds for them in all documents, best first."""
-    docs = table(spark, sf_dir, "documents")
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer"), "text")
-    found = lexical.ranked(lexical.bm25(lexical.with_terms(docs), "doc_id", lexical.with_terms(turns), "answer", digits=6), "answer", "doc_id", K.TOP_K)
+    docs, turns = table(spark, sf_dir, "documents"), _turns(spark, sf_dir)
+    found = staging.stage(_found(turns, lexical.indexed(docs, "doc_id")), "found")
     one = F.struct(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.lit(0).alias("start"))
     held = found.select("answer", "doc_id", "rank").join(docs.select("doc_id", "text"), "doc_id").groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("one")))).alias("held"))
     held = held.select("answer", F.transform("held", lambda h: h["one"]).alias("results"))
