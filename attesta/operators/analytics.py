@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,22 +64,36 @@ def round_tally(judged: DataFrame, by: list[str]) -> DataFrame:
     return judged.groupBy(*by).agg(F.count("*").alias("questions"), *(F.count_if(c).alias(n) for n, c in tally.items()))
 
 
+#: Fixed value: how a quotation marks what it leaves out.
+ELISION = re.compile(r"\(\s*\.\.\.\s*\)|\[\s*\.\.\.\s*\]")
+
+
+def flat(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip().lower()
+
+
 def quote_pieces(quote: str, passages: list[tuple[str, str]], least: int = 25) -> list[tuple[str, list[str]]]:
-    """Cuts a quotation from left to right into the longest prefixes that stand in some passage, each
-    with the passages that hold it; what is shorter than `least` is skipped by a character."""
-    out, at = [], 0
-    while len(quote) - at >= least:
-        holders = [(i, t) for i, t in passages if quote[at : at + least] in t]
-        if not holders:
-            at += 1
-            continue
-        low, high = least, len(quote) - at
-        while low < high:  # a longer prefix is in no more passages than a shorter one
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if any(quote[at : at + middle] in t for _, t in holders) else (low, middle - 1)
-        piece = quote[at : at + low]
-        out.append((piece, [i for i, t in holders if piece in t]))
-        at += low
+    """Cuts a quotation, white space and case aside, at its elisions and each part from left to right into
+    the longest prefixes that stand in some passage, each with the passages that hold it; what is shorter
+    than `least` is skipped by a character. No piece begins with a space."""
+    out, passages = [], [(i, flat(t)) for i, t in passages]
+    for part in ELISION.split(flat(quote)):
+        part, at = part.rstrip(), 0
+        while True:
+            at += len(part) - at - len(part[at:].lstrip()) if part[at : at + 1] == " " else 0
+            if len(part) - at < least:
+                break
+            holders = [(i, t) for i, t in passages if part[at : at + least] in t]
+            if not holders:
+                at += 1
+                continue
+            low, high = least, len(part) - at
+            while low < high:  # a longer prefix is in no more passages than a shorter one
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if any(part[at : at + middle] in t for _, t in holders) else (low, middle - 1)
+            piece = part[at : at + low]
+            out.append((piece, [i for i, t in holders if piece in t]))
+            at += low
     return out
 
 

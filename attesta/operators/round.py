@@ -94,9 +94,18 @@ def violations(markers: DataFrame) -> DataFrame:
     )
 
 
+def refuse_unequal(scores: DataFrame, recorded: DataFrame) -> None:
+    """Scores and recordings must be of the same answers, one of each, before any number is made."""
+    both = scores.groupBy("fixture").agg(F.count("*").alias("s")).join(recorded.groupBy(F.col("id").alias("fixture")).agg(F.count("*").alias("r")), "fixture", "full")
+    s, r, wrong = both.agg(F.sum("s"), F.sum("r"), F.count_if(~(F.col("s").eqNullSafe(1) & F.col("r").eqNullSafe(1)))).first()
+    if wrong:
+        raise ValueError(f"{s or 0} scores of {r or 0} recordings: {wrong} answers do not have one of each")
+
+
 def report(scores: DataFrame, markers: DataFrame, recorded: DataFrame, variants: DataFrame, meta: dict | None = None) -> DataFrame:
     """One row for each variant: sums, rates, gates. Publishable is what has no violation and no recording
     whose header is another; documents are not named where too many snippets match none."""
+    refuse_unequal(scores, recorded)
     headed = recorded.select(F.col("id").alias("fixture"), "recordedAt", F.greatest(F.coalesce("usageMetadata.toolUsePromptTokenCount", "usageMetadata.tool_use_prompt_token_count", F.lit(0)), F.lit(0)).alias("tool_tokens"), *[F.col(c) for c in ("model", "storeEmbeddingModel")])
     mismatch = F.lit(False)
     for c in ("model", "storeEmbeddingModel"):

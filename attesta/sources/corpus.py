@@ -67,7 +67,7 @@ def report_sink(report: DataFrame, path: str) -> None:
 TABLES = ("chunks", "postings", "vectors")
 
 
-def save_index(path: str, chunks: DataFrame, postings: DataFrame, average: float, tokenizer_id: str, vectors: DataFrame | None = None, provider_id: str | None = None, dimensions: int | None = None) -> None:
+def save_index(path: str, chunks: DataFrame, postings: DataFrame, average: float, tokenizer_id: str, vectors: DataFrame | None = None, provider_id: str | None = None, dimensions: int | None = None, k1: float = K.BM25_K1, b: float = K.BM25_B) -> None:
     """Postings are sorted by term within files, so a query reads few row groups."""
     spark = chunks.sparkSession
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
@@ -75,7 +75,7 @@ def save_index(path: str, chunks: DataFrame, postings: DataFrame, average: float
     if vectors is not None:
         vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     meta = {
-        "format_version": K.INDEX_FORMAT_VERSION, "tokenizer_id": tokenizer_id, "chunker_policy": K.CHUNKER_POLICY, "k1": K.BM25_K1, "b": K.BM25_B,
+        "format_version": K.INDEX_FORMAT_VERSION, "tokenizer_id": tokenizer_id, "chunker_policy": K.CHUNKER_POLICY, "k1": k1, "b": b,
         "average_length": float(average), "dense": None if vectors is None else {"provider_id": provider_id, "dimensions": dimensions},
     }
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")

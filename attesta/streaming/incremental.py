@@ -21,7 +21,6 @@ def index_batch(batch: DataFrame, batch_id: int, path: str, tokenizer: S.Tokeniz
     spark = batch.sparkSession
     docs = batch.dropDuplicates(["doc_id"])
     rows = analyze.analyze(docs, tokenizer=tokenizer).select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
-    rows = rows.join(docs.select("doc_id", "text"), "doc_id").withColumn("text", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
     rows = rows.withColumn("chunk_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("ordinal").cast("string")))
     place = f"batch={batch_id}"
     rows.write.mode("overwrite").parquet(f"{path}/chunks/{place}")

@@ -167,3 +167,15 @@ def test_a_round(spark, tmp_path):
         R.run_round(recorded, wrong.withColumn("segments", F.lit(None).cast(labels.schema["segments"].dataType)), documents, fixtures, variants)
     with pytest.raises(ValueError, match="does not have"):
         R.parse(recorded, documents, spark.createDataFrame([("q", "lost")], "fixture string, document_id string"))
+
+
+def test_a_saved_index_keeps_its_parameters(spark, tmp_path):
+    """Scores after a reload are those of before, whatever k1 and b are."""
+    docs = spark.createDataFrame([(str(i), "alfa beta " * (i + 1) + f"gama{i}") for i in range(5)], "doc_id string, text string")
+    asked = spark.createDataFrame([(1, "alfa gama3")], "query_id int, text string")
+    index, path = I.create_index(docs, k1=0.5, b=0.1), f"file://{tmp_path}/custom"
+    index.save(path)
+    score = lambda i: {r["chunk_id"]: r["score"] for r in i.search_lexical(asked).collect()}
+    again = I.load(spark, path)
+    assert (again.k1, again.b) == (0.5, 0.1) and score(again) == pytest.approx(score(index))
+    assert score(index) != pytest.approx(score(I.create_index(docs)))

@@ -216,7 +216,9 @@ def test_bad_postings_are_refused(spark):
 def test_quotes_by_their_longest_pieces():
     passages = [("a", "the quick brown fox jumps over the lazy dog and runs"), ("b", "the quick brown fox jumps over it all again today")]
     got = analytics.quote_pieces("the quick brown fox jumps over the lazy dog [...] brown fox jumps over it all again today", passages)
-    assert got == [("the quick brown fox jumps over the lazy dog ", ["a"]), (" brown fox jumps over it all again today", ["b"])]
+    assert got == [("the quick brown fox jumps over the lazy dog", ["a"]), ("brown fox jumps over it all again today", ["b"])]
+    spread = analytics.quote_pieces("The Quick\n brown  fox jumps over the LAZY (...) fox jumps over it all AGAIN x", passages)
+    assert spread == [("the quick brown fox jumps over the lazy", ["a"]), ("fox jumps over it all again ", ["b"])]
     assert analytics.quote_pieces("short", passages) == []
 
 
