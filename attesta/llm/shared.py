@@ -6,13 +6,9 @@ same as the runs of ``[^\\x20\\x09-\\x0D]+`` of its code points.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import functools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,10 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import spread
+from ..sources.staging import made, shared_dir, shared_path, stage, sweep, unstage  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
-_OWN: dict[str, str] = {}
-_MADE: list[str] = []
 
 
 @functools.cache
@@ -39,72 +34,6 @@ def give_back() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary
-    folder in local mode; a cluster must name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if app not in _OWN:
-            folder = tempfile.mkdtemp(prefix="attesta-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            _OWN[app] = "file://" + folder
-        found = _OWN[app]
-    return found.rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. What is written there goes when the driver ends, or by `sweep`."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    files, where = _file_system(spark, path)
-    files.deleteOnExit(where)
-    _MADE.append(path)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them back: lineage ends here, and a
-    lost executor costs no more than the tasks it ran."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._attesta_path = path
-    return out
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    files, where = _file_system(spark, path)
-    files.delete(where, True)
-    if path in _MADE:
-        _MADE.remove(path)
-
-
-def unstage(df: DataFrame) -> None:
-    """Removes a staged table that nothing reads any more."""
-    if getattr(df, "_attesta_path", None):
-        remove(df.sparkSession, df._attesta_path)
-
-
-def made() -> int:
-    """How many tables are staged: a mark for `sweep`."""
-    return len(_MADE)
-
-
-def sweep(spark: SparkSession, mark: int, keep: DataFrame) -> None:
-    """Removes what was staged since the mark but for one table, which must not be read from the others."""
-    for path in _MADE[mark:]:
-        if path != getattr(keep, "_attesta_path", None):
-            remove(spark, path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few enough rows for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
