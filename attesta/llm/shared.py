@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import spread
-from ..sources.staging import made, shared_dir, shared_path, stage, sweep, unstage  # noqa: F401
+from ..sources.staging import BROADCAST_BYTES, bounded, made, shared_dir, shared_path, stage, sweep, unstage  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,15 +44,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: Bytes of one side of a join up to which it is broadcast; beyond it both sides are shuffled.
-BROADCAST_BYTES = 64 << 20
-
-
-def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
-    """The staged table marked for broadcast if its rows, counted, are within the bound."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of which doc_id is not among the ids, in one pass over the texts where the ids are few."""
     return docs.join(bounded(stage(ids.select("doc_id").distinct(), "ids"), 48), "doc_id", "left_anti").select(*docs.columns)
