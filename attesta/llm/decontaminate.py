@@ -15,13 +15,23 @@ capitalised word after a lower-case letter, comma or semicolon and a space. In a
 capitalised word is a name, wherever it stands. Chains are made of the windows whose first templates
 are equal, and again of those with windows where either template of the one equals either of the
 other; a document holds an item if one of both is consistent. Windows of which more than half is
-placeholders are no evidence. Null or empty texts, of either table, match nothing. Rows of
-null doc_id or item_id are left out. Repeated rows give their pair once. Extra columns are ignored.
+placeholders are no evidence.
+
+A document that holds `share` of an item's windows holds one of any choice of more than the others. So
+only an item's rarest windows, so many of them, bring documents and items together: a prompt that all
+items begin with does not pair every document that has it with every item.
+
+Null or empty texts, of either table, match nothing. Code points U+E001 to U+E004 of a text count as
+spaces. Rows of null doc_id or item_id are left out. Repeated rows give their pair once. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared
@@ -30,25 +40,40 @@ WIDTH, SHARE, SLACK = 8, 0.5, 8
 #: Bytes of benchmark windows, and of documents to verify, up to which they are broadcast; beyond it
 #: they are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Benchmark windows up to which documents' windows are tested before each becomes a row of the join.
+IN_PLAN = 1 << 16
 NAME, NUMBER, UNIT, FIRST = "\ue001", "\ue002", "\ue003", "\ue004"
 #: Units of measure, money and time.
 UNITS = "km|cm|mm|m|mi|ft|in|kg|g|mg|lb|lbs|oz|l|ml|mph|kmh|h|hr|hrs|hour|hours|min|mins|minute|minutes|s|sec|secs|second|seconds|day|days|week|weeks|month|months|year|years|percent|dollar|dollars|euro|euros|cent|cents|degrees"
 
 
-#: Where a name begins: inside a sentence, and anywhere.
-INSIDE, ANYWHERE = r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", r"(?<![\p{L}\p{N}\p{M}" + NAME + r"])(?=\p{Lu}\p{Ll})"
+#: Where a name begins: inside a sentence, and anywhere. What is seldom there is tried first.
+INSIDE, ANYWHERE = r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}\p{M}" + NAME + r"])"
 
 
 def marked(text: Column, name: str = INSIDE) -> Column:
     """The text in lower case with a placeholder before each slot's value."""
-    out = F.regexp_replace(text, name, NAME)
-    out = F.regexp_replace(F.lower(out), r"(?<=[0-9])[.,](?=[0-9])", "")
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}" + NAME + r"])(?=[0-9])", NUMBER)
-    return F.regexp_replace(out, r"(?<=[0-9])( ?)[" + NAME + FIRST + r"]?(?=(?:" + UNITS + r")(?![\p{L}\p{N}]))", " " + UNIT)
+    return numbered(F.regexp_replace(text, name, NAME))
+
+
+def numbered(text: Column) -> Column:
+    """The text in lower case with a placeholder before each number and unit."""
+    out = F.regexp_replace(F.lower(text), r"[.,](?=[0-9])(?<=[0-9].)", "")
+    out = F.regexp_replace(out, r"(?=[0-9])(?<![\p{L}\p{N}" + NAME + r"])", NUMBER)
+    out = F.regexp_replace(out, r"([0-9]) ?[" + NAME + FIRST + r"]?(?=(?:" + UNITS + r")(?![\p{L}\p{N}]))", "$1 " + UNIT)
+    return F.when(text.rlike("[0-9]"), out).otherwise(F.lower(text))
+
+
+def unmarked(text: Column) -> Column:
+    """The text without code points that are placeholders here."""
+    marks = NAME + NUMBER + UNIT + FIRST
+    held = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in marks])
+    return F.when(held, F.translate(text, marks, " " * len(marks))).otherwise(text)
 
 
 def tokens(marked_text: Column) -> Column:
-    return F.filter(F.split(marked_text, r"[^\p{L}\p{N}\p{M}" + NAME + NUMBER + UNIT + FIRST + "]+"), lambda t: t != "")
+    # what is not of a word in ASCII is looked up as what is not a letter, number or mark at all
+    return F.array_remove(F.split(marked_text, r"[[\W_]&&[^\p{L}\p{N}\p{M}" + NAME + NUMBER + UNIT + FIRST + "]]+"), "")
 
 
 def values_of(marked_text: Column) -> Column:
@@ -56,9 +81,14 @@ def values_of(marked_text: Column) -> Column:
     return tokens(F.translate(marked_text, NAME, ""))
 
 
+def slot_of(token: Column) -> Column:
+    """The placeholder of a slot's token; null for others."""
+    return F.when(token.startswith(NAME), NAME).when(token.startswith(NUMBER), NUMBER).when(token.startswith(UNIT), UNIT)
+
+
 def template(marked_text: Column) -> Column:
     """Tokens with slots emptied: the placeholder stands alone."""
-    return tokens(F.regexp_replace(marked_text, "([" + NAME + NUMBER + UNIT + r"])[\p{L}\p{N}\p{M}]+", "$1"))
+    return F.transform(tokens(marked_text), lambda t: F.coalesce(slot_of(t), t))
 
 
 def let(value: Column, use) -> Column:
@@ -71,10 +101,12 @@ def hashes_of(shape: Column) -> Column:
 
 
 def both_hashes(text: Column) -> Column:
-    """(hashes, other): the token hashes of both templates, from one pass over the text."""
-    shape = template(marked(F.regexp_replace(F.regexp_replace(text, INSIDE, NAME), ANYWHERE, FIRST), "(?!)"))
-    plain = lambda t: F.when(t.startswith(FIRST), F.xxhash64(F.ltrim(t, F.lit(FIRST)))).otherwise(F.xxhash64(t))
-    return let(shape, lambda x: F.struct(F.transform(x, plain).alias("hashes"), F.transform(x, lambda t: F.xxhash64(F.when(t.startswith(FIRST), NAME).otherwise(t))).alias("other")))
+    """(hashes, other): the token hashes of both templates, from one pass over the text. Most tokens sort
+    before all placeholders, so one comparison tells them."""
+    shape = tokens(numbered(F.regexp_replace(F.regexp_replace(text, INSIDE, NAME), ANYWHERE, FIRST)))
+    plain = lambda t: F.when(t < NAME, F.xxhash64(t)).when(t.startswith(FIRST), F.xxhash64(F.substring(t, 2, 1 << 30))).otherwise(F.xxhash64(F.coalesce(slot_of(t), t)))
+    other = lambda t, h: F.when((t < FIRST) | ~t.startswith(FIRST), h).otherwise(F.xxhash64(F.lit(NAME)))
+    return let(shape, lambda x: let(F.transform(x, plain), lambda h: F.struct(h.alias("hashes"), F.zip_with(x, h, other).alias("other"))))
 
 
 def rolled(hashes: Column, width: int) -> Column:
@@ -87,19 +119,29 @@ def rolled(hashes: Column, width: int) -> Column:
     return let(rolled(hashes, width // 2), lambda h: pair(h, h, width // 2))
 
 
-def windows(hashes: Column, other: Column, width: int) -> Column:
-    """(hash, at, width, first) of each run of so many token hashes, and of each that the second template changes."""
+def windows(hashes: Column, other: Column, width: int, wanted=None) -> Column:
+    """(hash, at, width, first) of each run of so many token hashes, and of each that the second template
+    changes; of those only, if wanted(hash) is given, for which it holds."""
     n = F.size(hashes) - width + 1
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     one = lambda h, first: lambda i: F.struct(F.get(h, i - 1).alias("hash"), i.alias("at"), F.lit(width).alias("width"), F.lit(first).alias("first"))
-    both = lambda a, b: F.concat(F.transform(places, one(a, True)), F.transform(F.filter(places, lambda i: F.get(a, i - 1) != F.get(b, i - 1)), one(b, False)))
+    plain = lambda a: F.filter(places, lambda i: wanted(F.get(a, i - 1))) if wanted else places
+    new = lambda a, b: lambda i: (F.get(a, i - 1) != F.get(b, i - 1)) & (wanted(F.get(b, i - 1)) if wanted else F.lit(True))
+    both = lambda a, b: F.concat(F.transform(plain(a), one(a, True)), F.transform(F.filter(places, new(a, b)), one(b, False)))
     return let(rolled(hashes, width), lambda a: let(rolled(other, width), lambda b: both(a, b)))
 
 
+def among(hashes: DataFrame):
+    """A test whether a hash is one of these few, by a hash set that is part of the plan."""
+    few = hashes.agg(F.collect_set("hash"))._jdf.first().getList(0)
+    return lambda h: type(h)(h._jc.isInCollection(few))
+
+
 def item_windows(items: DataFrame, width: int) -> DataFrame:
     """(item_id, n_windows, width, length, hash, place, first, slots, more_slots) of the items' windows that
     are evidence in the first template or in the second; the slots are those of either."""
-    rows = items.where("item_id is not null and text is not null").select("item_id", marked(F.col("text")).alias("m"), marked(F.col("text"), ANYWHERE).alias("a"))
+    text = unmarked(F.col("text"))
+    rows = items.where("item_id is not null and text is not null").select("item_id", marked(text).alias("m"), marked(text, ANYWHERE).alias("a"))
     rows = rows.select("item_id", values_of(F.col("m")).alias("values"), template(F.col("m")).alias("shape"), template(F.col("a")).alias("other")).where("size(shape) > 0")
     rows = rows.withColumn("width", F.least(F.size("shape"), F.lit(width)))
     rows = rows.withColumns({"hashes": hashes_of(F.col("shape")), "changed": hashes_of(F.col("other"))})
@@ -113,6 +155,16 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     return rows.select("item_id", "width", "length", "slots", "more_slots", "n_windows", F.col("w.at").alias("place"), "w.first", "w.hash")
 
 
+def seeds(wanted: DataFrame, share: float) -> DataFrame:
+    """(width, hash, item_id) of the windows that bring documents and items together: those at an item's
+    rarest places, one more place than a document that holds the item may lack."""
+    common = wanted.withColumn("n_items", F.count("*").over(W.partitionBy("width", "hash")))
+    places = common.groupBy("item_id", "n_windows", "place").agg(F.max("n_items").alias("n_items"))
+    places = places.withColumn("nth", F.row_number().over(W.partitionBy("item_id").orderBy("n_items", "place")))
+    rarest = places.where(F.col("nth") <= F.floor(F.col("n_windows") * F.lit(1 - share)) + 1).select("item_id", "place")
+    return wanted.join(rarest, ["item_id", "place"]).select("width", "hash", "item_id").distinct()
+
+
 def name_marks(shape: Column) -> Column:
     """A letter a token: n if it is a name."""
     return F.array_join(F.transform(shape, lambda t: F.when(t == NAME, "n").otherwise(".")), "")
@@ -188,11 +240,16 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     wanted = shared.stage(item_windows(items, width), "items")
     n, widths = wanted.agg(F.count("*"), F.sort_array(F.collect_set("width"))).first()
     small = n * 256 <= BROADCAST_BYTES
+    sent = F.broadcast if small else lambda rows: rows
     keys = wanted.select("width", "hash", "item_id", "place", "length", "n_windows", F.col("first").alias("item_first"))
-    hashed = docs.where("doc_id is not null and text is not null").select("doc_id", both_hashes(F.col("text")).alias("h")).select("doc_id", "h.hashes", "h.other")
-    each = F.concat(*[windows(F.col("hashes"), F.col("other"), w) for w in (widths or [width])])
+    text = unmarked(F.col("text"))
+    hashed = docs.where("doc_id is not null and text is not null").select("doc_id", both_hashes(text).alias("h")).select("doc_id", "h.hashes", "h.other")
+    wanted_hash = among(keys) if 0 < n <= IN_PLAN else None
+    each = F.concat(*[windows(F.col("hashes"), F.col("other"), w, wanted_hash) for w in (widths or [width])])
     found = hashed.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.hash", "w.at", "w.width", "w.first")
-    found = found.join(F.broadcast(keys) if small else keys, ["width", "hash"])
+    found = shared.stage(found.join(sent(keys.select("width", "hash").distinct()), ["width", "hash"]), "windows")
+    pairs = found.join(sent(seeds(wanted, share)), ["width", "hash"]).select("doc_id", "item_id").distinct()
+    found = found.join(pairs, "doc_id").join(sent(keys), ["item_id", "width", "hash"])
     first = F.col("first") & F.col("item_first")
     found = found.groupBy("doc_id", "item_id", "length", "n_windows", (F.col("at") - F.col("place")).alias("shift")).agg(F.array_sort(F.collect_set(F.when(first, F.col("place")))).alias("places"), F.array_sort(F.collect_set("place")).alias("all"))
     found = found.groupBy("doc_id", "item_id", "length", "n_windows").agg(F.collect_list(F.struct("shift", "places")).alias("found"), F.collect_list(F.struct("shift", F.col("all").alias("places"))).alias("all"))
@@ -211,8 +268,8 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float =
     if n_slotted:
         slotted = slotted.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_windows", "first", "n_matched", "parts", "size", "checked", "n_slots")).alias("found"))
         values = docs.select("doc_id", "text").join(F.broadcast(slotted) if n_slotted * 4096 <= BROADCAST_BYTES else slotted, "doc_id")
-        marks = [name_marks(template(marked(F.col("text"), n))).alias(c) for c, n in (("marks", INSIDE), ("more_marks", ANYWHERE))]
-        values = values.select("doc_id", "found", values_of(marked(F.col("text"))).alias("v"), *marks)
+        marks = [name_marks(template(marked(text, n))).alias(c) for c, n in (("marks", INSIDE), ("more_marks", ANYWHERE))]
+        values = values.select("doc_id", "found", values_of(marked(text)).alias("v"), *marks)
         values = values.select("doc_id", F.explode("found").alias("f"), "v", "marks", "more_marks").withColumn("marks", F.when(F.col("f.first"), F.col("marks")).otherwise(F.col("more_marks")))
         fits = values.where(consistent(F.col("f.parts"), F.col("f.size"), F.col("f.checked"), F.col("v"), F.col("marks")))
         plain = plain.unionByName(fits.select("f.item_id", "doc_id", "f.n_windows", "f.n_matched", "f.n_slots"))

@@ -74,6 +74,22 @@ def test_slots_outside_matched_windows(spark):
     assert found(spark, " ".join(words[:20] + other), " ".join(words[:14] + other), item=" ".join(words)) == [0]
 
 
+def test_prompt_common_to_all_items(spark):
+    """Items that begin alike: the common windows count, but pair no document with an item by themselves."""
+    prompt = " ".join(f"p{i}" for i in range(12))
+    items = spark.createDataFrame([(i, prompt + " " + " ".join(f"q{i}x{j}" for j in range(14))) for i in range(5)], "item_id long, text string")
+    half = prompt + " " + " ".join(f"q3x{j}" for j in range(6))  # 11 of 19 windows
+    docs = spark.createDataFrame([(0, prompt + " and so on"), (1, half), (2, items.first()["text"])], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["n_matched"]) for r in D.leaks(docs, items).collect()) == [(1, 3, 11), (2, 0, 19)]
+    seeds = D.seeds(D.item_windows(items, 8), 0.5)
+    assert seeds.groupBy("hash").count().where("count > 1").count() == 0 and seeds.count() == 5 * 10
+
+
+def test_placeholders_in_texts(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    assert found(spark, words.replace("w5 ", "w5 \ue001 "), words.replace("w5", "\ue002w5"), item=words) == [0, 1]
+
+
 def test_short_items(spark):
     assert found(spark, "say one two three four now", "one two three", "one two three four", item="One two three, four!") == [0, 2]
 
