@@ -1,10 +1,11 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A bounded sample of the vectors gives the pivots, spread by farthest-point choice. Each vector is
-described by its `prefix` nearest pivots in order (permutation index; Amato and Savino, 2008). An
-inverted list is kept for each label and pair of pivots; vectors meet where they share `least` pivots
-or more, and every meeting is verified by cosine in double precision, so no reported link is wrong. A
-pair that meets in several lists counts in the first.
+A bounded sample of the vectors gives the pivots, spread by farthest-point choice; there are more of
+them the more vectors there are, up to MOST_PIVOTS, so that the mean length of a list stays. Each vector
+is described by its `prefix` nearest pivots in order (permutation index; Amato and Savino, 2008). An
+inverted list is kept for each label and pair of pivots, so all that meet in one share two; vectors
+link where they share `least` pivots or more and verify by cosine in double precision, so no reported
+link is wrong. A pair that meets in several lists counts in the first.
 
 All vectors are indexed; lengths other than the commonest, of at most BLOCK classes, are compared whole,
 without pivots. Equal vectors of one label are one class and are compared once. Long lists
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-COSINE, PIVOTS, PREFIX, LEAST = 0.93, 64, 5, 2
+COSINE, LEAST = 0.93, 2
 SAMPLE, BLOCK = 4096, 384
+#: Mean length of a list, over all labels, for which the number of pivots is chosen, and its bounds.
+LENGTH, PIVOTS, MOST_PIVOTS = 32, 64, 2048
 
 
 def spread(sample: np.ndarray, n: int) -> np.ndarray:
@@ -57,26 +60,22 @@ def usable() -> Column:
     return F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & whole & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def met(vectors: np.ndarray, prefix: np.ndarray, key: int, block: np.ndarray, apart: bool, pivots: int, least: int, cosine: float):
-    """Pairs (i, j) of a unit that share enough pivots, whose first common list is this and that verify."""
-    holds = np.zeros((len(vectors), pivots), np.float32)
-    np.put_along_axis(holds, prefix, 1, 1)
-    close = np.triu(holds @ holds.T >= least, 1)
+def met(vectors: np.ndarray, near: np.ndarray, key: int, block: np.ndarray, apart: bool, pivots: int, least: int, cosine: float):
+    """Pairs (i, j) of a unit that verify, share enough pivots, and of which this is the first common list."""
+    close = np.triu(vectors @ vectors.T >= cosine - 1e-6, 1)
     if apart:
         close &= block[:, None] != block[None, :]
     i, j = np.nonzero(close)
-    ok = np.zeros(len(i), bool)
+    mine, near = np.zeros(len(i), bool), np.sort(near, 1)
     for a in range(0, len(i), 1 << 16):
         p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-        ok[a : a + (1 << 16)] = (vectors[p] * vectors[q]).sum(1) >= cosine
-    i, j = i[ok], j[ok]
-    if not len(i):
-        return i, j
-    # the first common list is that of the two smallest common pivots
-    common = (holds[i] > 0) & (holds[j] > 0)
-    first = common.argmax(1)
-    common[np.arange(len(i)), first] = False
-    mine = first * pivots + common.argmax(1) == key
+        common = (near[p][:, :, None] == near[q][:, None, :]).any(2)  # of the pivots of p, in order of their numbers
+        ok = ((vectors[p] * vectors[q]).sum(1) >= cosine) & (common.sum(1) >= least)
+        if near.shape[1] > 1:  # the first common list is that of the two smallest common pivots
+            row, first = np.arange(len(p)), common.argmax(1)
+            common[row, first] = False
+            ok &= near[p][row, first] * pivots + near[p][row, common.argmax(1)] == key
+        mine[a : a + (1 << 16)] = ok
     return i[mine], j[mine]
 
 
@@ -94,7 +93,16 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS, prefix: int = PREFIX, least: int = LEAST) -> DataFrame:
+def pivots_for(n: int) -> tuple[int, int]:
+    """(number of pivots, how many of the nearest describe a vector) for so many vectors: among more pivots
+    the nearest change places more easily, so one more is kept."""
+    pivots = PIVOTS
+    while pivots < MOST_PIVOTS and n * 30 > LENGTH * pivots * pivots:  # 15 of pivots ** 2 / 2 lists for each vector
+        pivots *= 2
+    return pivots, 5 if pivots == PIVOTS else 6
+
+
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, pivots: int | None = None, prefix: int | None = None, least: int = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding, label)."""
     spark = rows.sparkSession
     fine = rows.where(usable()).select("vec_id", "label", "embedding")
@@ -102,13 +110,14 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     classes = shared.stage(classes.withColumn("class", F.xxhash64("label", "embedding")), "classes")
     width = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     counts = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
-    sizes = [r["d"] for r in counts.where((F.col("n") > BLOCK) | (F.col("d") == width["d"])).collect()] if width else []
-    parts = [_all_links(classes.where(~F.size("embedding").isin(sizes)).withColumn("d", F.size("embedding")), cosine)] if sizes else []
-    for d in sizes:  # one size but in odd data
+    sizes = {r["d"]: r["n"] for r in counts.where((F.col("n") > BLOCK) | (F.col("d") == width["d"])).collect()} if width else {}
+    parts = [_all_links(classes.where(~F.size("embedding").isin(list(sizes))).withColumn("d", F.size("embedding")), cosine)] if sizes else []
+    for d, n in sizes.items():  # one size but in odd data
         some = classes.where(F.size("embedding") == d)
         sample = shared.first_by(some, "class", SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
-        chosen = spread(unit_rows(sample), pivots)
-        parts.append(_links(some, chosen, cosine, min(prefix, len(chosen)), least))
+        best, near = pivots_for(n)
+        chosen = spread(unit_rows(sample), pivots or best)
+        parts.append(_links(some, chosen, cosine, min(prefix or near, len(chosen)), least))
     found = None
     for p in parts:
         found = p if found is None else found.union(p)

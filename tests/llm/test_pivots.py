@@ -52,6 +52,29 @@ def test_recall(spark, spread):
     assert sum(f[0] for f in found.values()) >= 0.9 * sum(w[0] for w in want.values())
 
 
+def test_recall_with_more_pivots():
+    """Of pairs at the threshold itself, the share that meets in a list, whatever the number of pivots."""
+    rng = np.random.default_rng(8)
+    base, z = rng.normal(size=(2, 2500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    z -= (z * base).sum(1, keepdims=True) * base
+    near = 0.93 * base + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for n in (1_000, 50_000, 1_000_000, 10**9):
+        pivots, prefix = P.pivots_for(n)
+        chosen = P.spread(base, pivots)
+        a, b = (np.argsort(-(x @ chosen.T), 1)[:, :prefix] for x in (base, near))
+        assert ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= P.LEAST).mean() > 0.95, n
+    assert [P.pivots_for(n)[0] for n in (1_000, 50_000, 1_000_000, 10**9)] == [64, 256, 1024, P.MOST_PIVOTS]
+
+
+@pytest.mark.parametrize("pivots", [128, 512])
+def test_links_with_more_pivots(spark, pivots):
+    rows = cloud(np.random.default_rng(5), 900, 300, 0.2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want, found = brute(rows), got(P.near_duplicates(df, pivots=pivots, prefix=6))
+    assert all(found[i][0] <= want[i][0] for i in want) and sum(f[0] for f in found.values()) >= 0.95 * sum(w[0] for w in want.values())
+
+
 def test_whole_table(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
