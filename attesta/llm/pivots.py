@@ -50,7 +50,9 @@ def spread(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+    """Vectors of one width, scaled to length 1."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = x.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -60,13 +62,19 @@ def usable() -> Column:
     return F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & whole & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def met(vectors: np.ndarray, near: np.ndarray, key: int, block: np.ndarray, apart: bool, pivots: int, least: int, cosine: float):
-    """Pairs (i, j) of a unit that verify, share enough pivots, and of which this is the first common list."""
+def met(vectors: np.ndarray, nearest, key: int, block: np.ndarray, apart: bool, pivots: int, least: int, cosine: float):
+    """Pairs (i, j) of a unit that verify, share enough pivots, and of which this is the first common list;
+    nearest(vectors) gives their pivots, which only those that are close need."""
     close = np.triu(vectors @ vectors.T >= cosine - 1e-6, 1)
     if apart:
         close &= block[:, None] != block[None, :]
     i, j = np.nonzero(close)
-    mine, near = np.zeros(len(i), bool), np.sort(near, 1)
+    if not len(i):
+        return i, j
+    some = np.unique(np.concatenate([i, j]))
+    few, mine = np.sort(nearest(vectors[some]), 1), np.zeros(len(i), bool)
+    near = np.zeros((len(vectors), few.shape[1]), few.dtype)
+    near[some] = few
     for a in range(0, len(i), 1 << 16):
         p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
         common = (near[p][:, :, None] == near[q][:, None, :]).any(2)  # of the pivots of p, in order of their numbers
@@ -167,15 +175,14 @@ def _links(classes: DataFrame, chosen: np.ndarray, cosine: float, prefix: int, l
     pivots = len(chosen)
     pairs = list(itertools.combinations(range(prefix), 2)) or [(0, 0)]
 
-    def nearest(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        vectors = unit_rows(column)
-        return vectors, np.argsort(-(vectors @ chosen.T), axis=1, kind="stable")[:, :prefix]
+    def nearest(vectors: np.ndarray) -> np.ndarray:
+        return np.argsort(-(vectors @ chosen.T), axis=1, kind="stable")[:, :prefix]
 
     def describe(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, near = nearest(batch.column("embedding"))
+            near = nearest(unit_rows(batch.column("embedding")))
             keys = [np.minimum(near[:, a], near[:, b]) * pivots + np.maximum(near[:, a], near[:, b]) for a, b in pairs]
             yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("label"), shared.lists(list(np.stack(keys, 1).astype(np.int64)), pa.int64())], ["class", "label", "keys"])
 
@@ -194,11 +201,12 @@ def _links(classes: DataFrame, chosen: np.ndarray, cosine: float, prefix: int, l
 
     def verify(batches):
         for unit in shared.runs(batches, "unit"):
-            seen = set(zip(unit.column("label").to_pylist(), unit.column("key").to_pylist()))
+            told = list(zip(unit.column("label").to_pylist(), unit.column("key").to_pylist()))
+            seen = set(told)
             for label, key in seen:  # one, unless hashes of units collide
-                part = unit if len(seen) == 1 else unit.take([r for r, x in enumerate(zip(unit.column("label").to_pylist(), unit.column("key").to_pylist())) if x == (label, key)])
-                vectors, near = nearest(part.column("embedding").combine_chunks())
-                p, q = met(vectors, near, key, part.column("block").to_numpy(), part.column("apart")[0].as_py(), pivots, least, cosine)
+                part = unit if len(seen) == 1 else unit.take([r for r, x in enumerate(told) if x == (label, key)])
+                vectors = unit_rows(part.column("embedding").combine_chunks())
+                p, q = met(vectors, nearest, key, part.column("block").to_numpy(), part.column("apart")[0].as_py(), pivots, least, cosine)
                 if not len(p):
                     continue
                 ids, n = part.column("class").to_numpy(), part.column("n").to_numpy()
