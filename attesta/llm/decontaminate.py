@@ -283,4 +283,4 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item of the benchmark."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    return shared.without(docs, leaks(docs, items))
