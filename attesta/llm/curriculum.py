@@ -92,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, schedules:
     sums = sums.alias("l").join(source_targets(sized, weights, most).alias("r"), same).select("l.*", "r.source_size", "r.rank", "r.target")
     within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *(["row"] if row else [])).rowsBetween(W.unboundedPreceding, -1)
     rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.alias("l").join(shared.bounded(shared.stage(sums, "sums"), 96).alias("r"), same & (F.col("l.bucket") == F.col("r.bucket")))
+    rows = rows.alias("l").join(shared.bounded(shared.stage(sums, "sums"), 512).alias("r"), same & (F.col("l.bucket") == F.col("r.bucket")))
     rows = rows.select("l.*", (F.col("inside") + F.col("offset")).alias("at"), "r.source_size", "r.rank", "r.target")
     demand = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     rows = rows.withColumn("demand", demand)
