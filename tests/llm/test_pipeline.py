@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a plain version of it, on what the stage before it kept."""
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -85,3 +86,15 @@ def test_mix(spark, stages, tmp_path):
 def test_run_is_the_stages(spark, sf_dir, stages):
     key = lambda df: sorted((r["doc_id"], r["taken"], r["position"]) for r in df.collect())
     assert key(P.run(spark, sf_dir)) == key(stages[-1])
+
+
+def test_odd_rows(spark, sf_dir, odd_docs, no_docs):
+    """Each stage on nulls, empty and very long texts, repeated rows and clashing columns: no row is made up or
+    comes twice, and the columns stay."""
+    before = Counter(str(r["doc_id"]) for r in odd_docs.collect())
+    for n, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, odd_docs, sf_dir)
+        got = Counter(str(r["doc_id"]) for r in out.collect())
+        assert got <= before and got["10"] == 1
+        assert n == len(P.STAGES) - 1 or out.columns == odd_docs.columns
+        assert stage(spark, no_docs, sf_dir).count() == 0
