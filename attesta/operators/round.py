@@ -26,7 +26,7 @@ def refuse_unknown(fixtures: DataFrame, documents: DataFrame) -> None:
 def parse(recorded: DataFrame, documents: DataFrame, fixtures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(markers, sources). Markers: (fixture, marker, part, start, end, raw_chunks, violation, length_delta,
     snapped_start, snapped_end); sources: (fixture, marker, source, document_id of the origin, resolved_by,
-    in_fixture, kind, located_in, start, end)."""
+    in_fixture, kind, located_in, start, end, snippet where it was not found)."""
     refuse_unknown(fixtures, documents)
     checked = ruler.parse_checks(corpus.supports(recorded)).withColumnsRenamed({"id": "fixture", "support": "marker"})
     text, a, b = F.col("part_text"), F.col("start_byte"), F.col("end_byte")
@@ -53,7 +53,7 @@ def parse(recorded: DataFrame, documents: DataFrame, fixtures: DataFrame) -> tup
     places = hits.groupBy("fixture", "marker", "source").agg(F.count("*").alias("places"), F.min(F.struct("look", "at", "n")).alias("first"))
     rows = rows.join(places, ["fixture", "marker", "source"], "left")
     kind = F.when(F.col("places").isNull(), "not_found").when(F.col("places") == 1, "exact").otherwise("ambiguous")
-    sources = rows.select("fixture", "marker", "source", "document_id", "resolved_by", "in_fixture", kind.alias("kind"), F.col("first.look").alias("located_in"), (F.col("first.at") - 1).alias("start"), (F.col("first.at") - 1 + F.col("first.n")).alias("end"))
+    sources = rows.select("fixture", "marker", "source", "document_id", "resolved_by", "in_fixture", kind.alias("kind"), F.col("first.look").alias("located_in"), (F.col("first.at") - 1).alias("start"), (F.col("first.at") - 1 + F.col("first.n")).alias("end"), F.when(kind == "not_found", F.col("snippet")).alias("snippet"))
     return markers.drop("indices", "chunks"), sources
 
 
@@ -65,8 +65,9 @@ def label_rows(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segments, golds
 
 
-def score(markers: DataFrame, sources: DataFrame, labels: DataFrame, threshold: float = K.OVERLAP_THRESHOLD) -> DataFrame:
-    """The counters of each fixture."""
+def marked(markers: DataFrame, sources: DataFrame, labels: DataFrame, threshold: float = K.OVERLAP_THRESHOLD) -> DataFrame:
+    """The state of each marker, and which source stands for it: the picked one if it overlaps a gold span, else the
+    first that was located."""
     segments, golds = label_rows(labels)
     kept = markers.where(F.coalesce(F.col("placed"), F.lit(False)))
     at = ruler.matched_segment(kept, segments).select("fixture", "marker", "segment")
@@ -74,10 +75,17 @@ def score(markers: DataFrame, sources: DataFrame, labels: DataFrame, threshold:
     best = ruler.best_gold(exact.join(at, ["fixture", "marker"]), golds, ["fixture", "segment"]).select("fixture", "marker", "overlap", F.col("source").alias("picked"))
     counts = sources.groupBy("fixture", "marker").agg(F.count("*").alias("sources"), F.count_if(F.col("kind") == "exact").alias("located"), F.min(F.when(F.col("kind") == "exact", F.col("source"))).alias("first"))
     rows = kept.join(counts, ["fixture", "marker"], "left").na.fill(0, ["sources", "located"]).join(at, ["fixture", "marker"], "left").join(best, ["fixture", "marker"], "left")
-    states = ruler.marker_states(rows, threshold)
+    chosen = F.when(F.coalesce("overlap", F.lit(0.0)) > 0, F.col("picked")).otherwise(F.col("first"))
+    return ruler.marker_states(rows, threshold).withColumn("chosen", chosen)
+
+
+def score(markers: DataFrame, sources: DataFrame, labels: DataFrame, threshold: float = K.OVERLAP_THRESHOLD) -> DataFrame:
+    """The counters of each fixture."""
+    segments, golds = label_rows(labels)
+    states = marked(markers, sources, labels, threshold)
     buckets = sources.groupBy("fixture").agg(F.count_if(F.col("kind") == "not_found").alias("not_located"), F.count_if(F.col("kind") == "ambiguous").alias("ambiguous"), F.count_if((F.col("kind") == "not_found") & (F.col("document_id").isNull() | ~F.col("in_fixture"))).alias("unmatched_document"))
     differed = states.where((F.coalesce("overlap", F.lit(0.0)) > 0) & (F.col("picked") != F.col("first"))).groupBy("fixture").agg(F.count("*").alias("pick_differed"))
-    outside = states.where("state = 'scored'").withColumn("source", F.when(F.coalesce("overlap", F.lit(0.0)) > 0, F.col("picked")).otherwise(F.col("first"))).join(sources.select("fixture", "marker", "source", "document_id", "in_fixture"), ["fixture", "marker", "source"])
+    outside = states.where("state = 'scored'").withColumn("source", F.col("chosen")).join(sources.select("fixture", "marker", "source", "document_id", "in_fixture"), ["fixture", "marker", "source"])
     outside = outside.where(F.col("document_id").isNotNull() & ~F.col("in_fixture")).groupBy("fixture").agg(F.count("*").alias("outside_fixture"))
     parts = [ruler.scored(states, segments), buckets, differed, outside, golds.groupBy("fixture").agg(F.count("*").alias("gold_spans"))]
     return reduce(lambda x, y: x.join(y, "fixture", "left"), parts).na.fill(0)
@@ -127,7 +135,41 @@ def run_round(recorded: DataFrame, labels: DataFrame, documents: DataFrame, fixt
     if wrong:
         raise ValueError("labels differ from their recordings: " + ", ".join(sorted(r[0] for r in wrong)))
     markers, sources = parse(recorded, documents, fixtures)
-    return report(score(markers, sources, labels), markers, recorded, variants, meta)
+    out = report(score(markers, sources, labels), markers, recorded, variants, meta)
+    column = F.struct("gold", "scored", "ambiguous", "not_located", "scored_over_gold", "gold_spans")
+    columns = class_report(markers, sources, labels, documents, variants).groupBy("variant").agg(F.map_from_entries(F.collect_list(F.struct("class", column))).alias("by_class"))
+    return out.join(columns, "variant", "left")
+
+
+def masses(markers: DataFrame, sources: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
+    """(fixture, bucket, each kind, plain), a row for each gold span, each source that stands for a scored marker,
+    the first place of each ambiguous snippet, and each snippet that was not found, by its own regions."""
+    _, golds = label_rows(labels)
+    key = lambda bucket, *names: F.struct("fixture", F.lit(bucket).alias("bucket"), *(F.col(a).cast("long").alias(b) for a, b in zip(names, ("x", "y"))))
+    named = golds.select(key("gold", "segment", "gold").alias("span"), "document_id", "start", "end")
+    stood = marked(markers, sources, labels).where("state = 'scored'").select("fixture", "marker", F.col("chosen").alias("source"))
+    place = [F.col("located_in").alias("document_id"), F.col("start"), F.col("end")]
+    named = named.unionByName(sources.join(stood, ["fixture", "marker", "source"], "left_semi").select(key("scored", "marker", "source").alias("span"), *place))
+    named = named.unionByName(sources.where("kind = 'ambiguous'").select(key("ambiguous", "marker", "source").alias("span"), *place))
+    lost = sources.where("kind = 'not_found'").select(key("not_located", "marker", "source").alias("span"), F.to_json(F.struct("fixture", "marker", "source")).alias("document_id"), F.col("snippet").alias("text"))
+    whole = lost.select("span", "document_id", F.lit(0).alias("start"), F.char_length("text").alias("end"))
+    by = lambda spans, texts: ruler.class_mass(spans, analyze.regions(analyze.analyze(texts, "document_id", with_tokens=False), "document_id"), doc="document_id")
+    both = by(named, documents.select("document_id", "text")).unionByName(by(whole, lost.select("document_id", "text")))
+    return both.select("span.fixture", "span.bucket", *ruler.KINDS, "plain")
+
+
+def class_report(markers: DataFrame, sources: DataFrame, labels: DataFrame, documents: DataFrame, variants: DataFrame) -> DataFrame:
+    """The columns by class of each variant."""
+    return ruler.class_columns(masses(markers, sources, labels, documents).join(variants, "fixture"), ["variant"], 6)
+
+
+def not_located_by_document(sources: DataFrame, variants: DataFrame) -> DataFrame:
+    """(variant, document_id, not_located) of snippets that none of the fixture's documents holds, by the document that their
+    origin names. A variant of which too many name none has no rows."""
+    rows = sources.where("kind = 'not_found'").join(variants, "fixture")
+    unmatched = F.col("document_id").isNull() | ~F.col("in_fixture")
+    named = rows.groupBy("variant").agg((F.count_if(unmatched) / F.count("*") <= K.MAX_UNMATCHED_RATIO).alias("held")).where("held").select("variant")
+    return rows.where(~unmatched).join(named, "variant", "left_semi").groupBy("variant", "document_id").agg(F.count("*").alias("not_located"))
 
 
 def gold_mass(labels: DataFrame, documents: DataFrame) -> DataFrame:

@@ -102,6 +102,27 @@ def class_mass(spans: DataFrame, regions: DataFrame, span: str = "span", doc: st
     return rows.groupBy(f"s.{span}").agg(*sums, plain.alias("plain"))
 
 
+def class_columns(masses: DataFrame, by: list[str], digits: int | None = None) -> DataFrame:
+    """(by, class, gold, scored, ambiguous, not_located, scored_over_gold, gold_spans) of each kind and plain.
+
+    Masses are (by, bucket, each kind, plain), a row a span; a bucket without spans has mean 0, and there is
+    no ratio where the gold spans hold nothing of a class. One aggregation; classes become rows after it."""
+    buckets = ("gold", "scored", "ambiguous", "not_located")
+    tidy = (lambda c: F.round(c, digits)) if digits else (lambda c: c)
+    of = lambda b: F.col("bucket") == b
+    classes = (*KINDS, "plain")
+    means = [F.coalesce(F.avg(F.when(of(b), F.col(k))), C.d(0)).alias(f"{b}_{k}") for k in classes for b in buckets]
+    sums = masses.groupBy(*by).agg(*means, *(F.count_if(of("gold") & (F.col(k) > 0)).alias(f"spans_{k}") for k in classes))
+    rows = [
+        F.struct(
+            F.lit(k).alias("class"), *(tidy(F.col(f"{b}_{k}")).alias(b) for b in buckets),
+            F.when(F.col(f"gold_{k}") != 0, tidy(F.col(f"scored_{k}") / F.col(f"gold_{k}"))).alias("scored_over_gold"), F.col(f"spans_{k}").alias("gold_spans"),
+        )
+        for k in classes
+    ]
+    return sums.select(*by, F.inline(F.array(*rows)))
+
+
 def marker_states(markers: DataFrame, threshold: float = K.OVERLAP_THRESHOLD) -> DataFrame:
     """Adds state (sourceless, bucket, scored), partial, choice and correct to rows of (raw_chunks, sources,
     located, overlap, segment)."""

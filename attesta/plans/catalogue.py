@@ -280,6 +280,23 @@ def class_mass(spark, sf_dir):
     return ruler.class_mass(spans, marks, digits=6)
 
 
+_BUCKETS = ("gold", "scored", "ambiguous", "not_located")
+
+
+@query(f"""WITH {_MARKS}, o AS (SELECT z.doc_id, z.ord, k.kind, CASE WHEN k.kind IS NOT NULL THEN CAST(least(z.e, k.e) - greatest(z.s, k.s) AS DOUBLE) / (z.e - z.s) ELSE {_D.format(0.0)} END AS part FROM z LEFT JOIN k ON z.doc_id = k.doc_id AND k.s < z.e AND z.s < k.e),
+g AS (SELECT doc_id, ord, {', '.join(f"round(sum(CASE WHEN kind = '{k}' THEN part ELSE {_D.format(0.0)} END), 6) AS {k}" for k in ruler.KINDS)}, round(1 - sum(part), 6) AS plain FROM o GROUP BY 1, 2),
+b AS (SELECT doc_id % 2 AS variant, [{', '.join(repr(b) for b in _BUCKETS)}][(doc_id + ord) % 4 + 1] AS bucket, unnest([{', '.join(repr(k) for k in (*ruler.KINDS, 'plain'))}]) AS class, unnest([{', '.join((*ruler.KINDS, 'plain'))}]) AS mass FROM g),
+m AS (SELECT variant, class, {', '.join(f"coalesce(avg(mass) FILTER (bucket = '{b}'), 0) AS {b}" for b in _BUCKETS)}, count(*) FILTER (bucket = 'gold' AND mass > 0) AS gold_spans FROM b GROUP BY 1, 2)
+SELECT variant, class, {', '.join(f'round({b}, 6) AS {b}' for b in _BUCKETS)}, CASE WHEN gold <> 0 THEN round(scored / gold, 6) END AS scored_over_gold, gold_spans FROM m""")
+def report_by_class(spark, sf_dir):
+    """The columns by class of a report; lines stand for spans, of a bucket by their number."""
+    _, marks = _marked(spark, sf_dir)
+    spans = _lines(spark, sf_dir).withColumn("span", F.struct("doc_id", "ord"))
+    masses = ruler.class_mass(spans, marks, digits=6)
+    bucket = F.get(F.array(*map(F.lit, _BUCKETS)), ((F.col("span.doc_id") + F.col("span.ord")) % 4).cast("int"))
+    return ruler.class_columns(masses.withColumns({"variant": F.col("span.doc_id") % 2, "bucket": bucket}), ["variant"], 6)
+
+
 @query(f"""WITH {_LINES}, c AS (SELECT doc_id, g AS chunk, g * 500 AS s, least(g * 500 + 800, length(text)) AS e FROM (SELECT doc_id, text, unnest(range(0, length(text) // 500 + 1)) AS g FROM documents))
 SELECT doc_id, sentence, chunk_id FROM (SELECT z.doc_id, CAST(z.ord AS BIGINT) AS sentence, CAST(c.chunk AS BIGINT) AS chunk_id,
 row_number() OVER (PARTITION BY z.doc_id, z.ord ORDER BY least(z.s - c.s, c.e - z.e) DESC, c.e DESC, c.s, c.chunk) AS place FROM z JOIN c ON z.doc_id = c.doc_id AND c.s <= z.s AND z.e <= c.e) WHERE place = 1""")
@@ -372,6 +389,26 @@ def veto_flags(spark, sf_dir):
     return longs(attribution.vetoes(rows, "mine", "theirs", "theirs").select("answer", "clause", "cand", "veto"))
 
 
+@query(f"""WITH {_ANSWERS}, v AS (SELECT answer, clause, cand FROM rg WHERE verdict = 'clear'), p0 AS (SELECT doc_id AS cand, unnest(string_split(text, '.')) AS text, generate_subscripts(string_split(text, '.'), 1) - 1 AS sentence FROM documents),
+p AS (SELECT DISTINCT cand, sentence, {_stem_sql('w')} AS term FROM (SELECT cand, sentence, unnest({_WORDS.format('text')}) AS w FROM p0)),
+mw AS (SELECT v.answer, v.clause, v.cand, p.sentence, round(sum({_IDF.format(n='f.n', df='f.df')}), 6) AS weight FROM v JOIN cl ON cl.answer = v.answer AND cl.clause = v.clause JOIN f ON f.answer = cl.answer AND f.term = cl.term JOIN p ON p.cand = v.cand AND p.term = cl.term GROUP BY 1, 2, 3, 4),
+mb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY answer, clause ORDER BY weight DESC, sentence) AS place FROM mw WHERE weight > 0) WHERE place = 1),
+lk AS (SELECT v.answer, v.clause, count(*) AS lacking FROM v JOIN cl ON cl.answer = v.answer AND cl.clause = v.clause AND regexp_matches(cl.term, '[0-9]') LEFT JOIN dt ON dt.cand = v.cand AND dt.term = cl.term WHERE dt.term IS NULL GROUP BY 1, 2),
+ng AS (SELECT DISTINCT answer, clause FROM cl WHERE term IN {K.NEGATION_MARKERS}), pn AS (SELECT DISTINCT cand, sentence FROM p WHERE term IN {K.NEGATION_MARKERS})
+SELECT v.answer, CAST(v.clause AS BIGINT) AS clause, v.cand, CAST(mb.sentence AS BIGINT) AS sentence, mb.weight, CASE WHEN lk.lacking > 0 THEN 'numeral' WHEN (ng.answer IS NOT NULL) <> (pn.cand IS NOT NULL) THEN 'negation' END AS veto
+FROM v LEFT JOIN mb ON mb.answer = v.answer AND mb.clause = v.clause LEFT JOIN lk ON lk.answer = v.answer AND lk.clause = v.clause LEFT JOIN ng ON ng.answer = v.answer AND ng.clause = v.clause LEFT JOIN pn ON pn.cand = v.cand AND pn.sentence = mb.sentence""")
+def matched_sentence(spark, sf_dir):
+    """The sentence of its passage that each clear clause rests on, and the vetoes against it; sentences end at full stops."""
+    clauses, candidates = _answers(spark, sf_dir)
+    won = staging.stage(attribution.lexical_rung(clauses, candidates, digits=6).where("verdict = 'clear'").select("answer", "clause", "cand"), "won")
+    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand"), F.posexplode(F.split("text", r"\.")).alias("sentence", "text"))
+    said = lexical.with_terms(said).select("cand", "sentence", "terms")
+    best = attribution.matched_sentences(won, clauses, candidates, said, digits=6)
+    rows = won.join(best, ["answer", "clause", "cand"], "left").join(said.withColumnRenamed("terms", "stated"), ["cand", "sentence"], "left")
+    rows = rows.join(clauses.withColumnRenamed("terms", "mine"), ["answer", "clause"]).join(candidates.withColumnRenamed("terms", "theirs"), ["answer", "cand"])
+    return longs(attribution.vetoes(rows, "mine", "theirs", "stated").select("answer", "clause", "cand", "sentence", "weight", "veto"))
+
+
 _DENSE = f"""s AS (SELECT q.vec_id AS clause, e.vec_id AS cand, {_COS} AS score, e.vec_id % 3 = 0 AS veto FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
 o AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM s WHERE score > 0 WINDOW w AS (PARTITION BY clause ORDER BY score DESC, cand)),
 k AS (SELECT *, nxt IS NULL OR score >= {_D.format(1.01)} * nxt AS wins FROM o)"""

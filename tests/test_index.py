@@ -160,6 +160,13 @@ def test_a_round(spark, tmp_path):
     assert (r["choice_supports"], r["partial_supports"], r["sourceless"], r["not_located"], r["ambiguous"], r["unmatched_document"]) == (1, 1, 1, 1, 1, 1)
     assert (r["length"], r["position"], r["meta_mismatch"], r["publishable"], r["all_plus_one"]) == (1, 1, 0, False, True)
     assert r["precision"] == 1.0 and r["sample_sufficient"] is False and r["tool_used"] == 1 and r["by_document_held"] is False
+    plain, code = r["by_class"]["plain"], r["by_class"]["code"]
+    assert len(r["by_class"]) == 6 and tuple(plain) == (1.0, 1.0, 1.0, 1.0, 1.0, 2) and tuple(code) == (0.0, 0.0, 0.0, 0.0, None, 0)
+    _, sources = R.parse(recorded, documents, fixtures)
+    assert [s["snippet"] for s in sources.where("snippet is not null").collect()] == ["ausente"]
+    assert R.not_located_by_document(sources, variants).collect() == []
+    named = sources.withColumns({"document_id": F.coalesce("document_id", F.lit("lei")), "in_fixture": F.lit(True)})
+    assert [tuple(x) for x in R.not_located_by_document(named, variants).collect()] == [("plain", "lei", 1)]
     mass = R.gold_mass(labels, documents).collect()
     assert len(mass) == 2 and all(m["plain"] == 1.0 for m in mass)
     wrong = spark.createDataFrame([("q", [("other text",)])], "id string, parts array<struct<text:string>>")

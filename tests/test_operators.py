@@ -234,3 +234,24 @@ def test_markdown(text, stripped):
     regions = [(r.start, r.end) for r in S.mask_regions(text)[1]]
     got, removed = workbench.strip_markdown(text, regions)
     assert got == stripped and workbench.restore_markdown(got, removed) == text
+
+
+def test_matched_sentences(spark):
+    """Most shared weight wins, then the earlier sentence; no shared term, no row; repeats of a term count once."""
+    won = spark.createDataFrame([(1, 0, 7), (1, 1, 7), (1, 2, 8)], "answer int, clause int, cand int")
+    clauses = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, ["c"]), (1, 2, ["z"])], "answer int, clause int, terms array<string>")
+    candidates = spark.createDataFrame([(1, 7, ["a", "b", "c", "d"]), (1, 8, ["y"])], "answer int, cand int, terms array<string>")
+    sentences = spark.createDataFrame([(7, 0, ["a", "a", "a"]), (7, 1, ["a", "b"]), (7, 2, ["b", "c", "a"]), (7, 3, ["c"]), (8, 0, ["y"]), (9, 0, ["a", "b"]), (8, 1, None)], "cand int, sentence int, terms array<string>")
+    got = attribution.matched_sentences(won, clauses, candidates, sentences).collect()
+    assert sorted((r["clause"], r["cand"], r["sentence"]) for r in got) == [(0, 7, 1), (1, 7, 2)]
+    assert attribution.matched_sentences(won.limit(0), clauses, candidates, sentences).count() == 0
+
+
+def test_class_columns(spark):
+    """Means by bucket; an empty bucket is 0, no ratio without gold mass, a null bucket belongs to none."""
+    row = lambda v, bucket, code: (v, bucket, code, 0.0, 0.0, 0.0, 0.0, 1.0 - code)
+    rows = [row("v", "gold", 0.5), row("v", "gold", 0.0), row("v", "scored", 1.0), row("v", None, 1.0), row("w", "scored", 0.5)]
+    masses = spark.createDataFrame(rows, "variant string, bucket string, code double, url double, formula double, enumerator double, abbreviation double, plain double")
+    got = {(r["variant"], r["class"]): tuple(r)[2:] for r in ruler.class_columns(masses, ["variant"]).collect()}
+    assert len(got) == 12 and got["v", "code"] == (0.25, 1.0, 0.0, 0.0, 4.0, 1) and got["v", "plain"] == (0.75, 0.0, 0.0, 0.0, 0.0, 2)
+    assert got["w", "code"] == (0.0, 0.5, 0.0, 0.0, None, 0) and ruler.class_columns(masses.limit(0), ["variant"]).count() == 0
