@@ -142,6 +142,22 @@ def df_regime(spark, sf_dir):
     return rows.where(F.col("df") * 2 > F.col("n")).select("term", "df", "occurrences", F.round("classic", 6).alias("classic"), F.round("lucene", 6).alias("lucene"), F.round(share, 6).alias("share"))
 
 
+@query(f"""WITH t AS ({_terms_sql('documents', 'doc_id')}), s AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
+SELECT n, count(*) AS vocabulary, CAST(sum(occurrences) AS BIGINT) AS occurrences, count(*) FILTER (df * 2 > n) AS negative_terms, round(CAST(coalesce(sum(occurrences) FILTER (df * 2 > n), 0) AS DOUBLE) / CAST(sum(occurrences) AS DOUBLE), 6) AS negative_share FROM s, n GROUP BY n""")
+def df_regime_summary(spark, sf_dir):
+    docs = lexical.indexed(table(spark, sf_dir, "documents"), "doc_id")
+    rows = lexical.regime_summary(lexical.postings(docs, "doc_id"), lexical.corpus_stats(docs))
+    return rows.withColumn("negative_share", F.round("negative_share", 6))
+
+
+@query(f"""WITH t AS ({_terms_sql('documents', 'doc_id')}), s AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
+SELECT row_number() OVER (ORDER BY df DESC, term) AS place, term, df, round(ln((CAST(n AS DOUBLE) - df + {_D.format(0.5)}) / (df + {_D.format(0.5)})), 6) AS classic FROM s, n WHERE df * 2 > n""")
+def negative_terms(spark, sf_dir):
+    docs = lexical.indexed(table(spark, sf_dir, "documents"), "doc_id")
+    rows = lexical.negative_terms(lexical.postings(docs, "doc_id"), lexical.corpus_stats(docs))
+    return longs(rows.select("place", "term", "df", F.round("classic", 6).alias("classic")))
+
+
 # ---------------------------------------------------------------- retrieval
 
 
@@ -674,7 +690,12 @@ def locate_in_view(spark, sf_dir):
 # ---------------------------------------------------------------- what SQL cannot state
 
 
-@query()
+def _fold_sql(start: int, by: int) -> str:
+    return f"list_reduce(list_prepend(CAST({start} AS UBIGINT), cs), lambda a, c: (xor(a, c) * {by}) & 4294967295)"
+
+
+@query(f"""WITH c AS (SELECT doc_id, text, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS UBIGINT)) AS cs FROM documents)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN printf('%08x%08x', {_fold_sql(0x811C9DC5, 0x01000193)}, {_fold_sql(0x01000193, 0x85EBCA6B)}) END AS content_hash FROM c""")
 def content_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", exact.content_hash(F.col("text")).alias("content_hash"))
 

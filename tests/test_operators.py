@@ -255,3 +255,17 @@ def test_class_columns(spark):
     got = {(r["variant"], r["class"]): tuple(r)[2:] for r in ruler.class_columns(masses, ["variant"]).collect()}
     assert len(got) == 12 and got["v", "code"] == (0.25, 1.0, 0.0, 0.0, 4.0, 1) and got["v", "plain"] == (0.75, 0.0, 0.0, 0.0, 0.0, 2)
     assert got["w", "code"] == (0.0, 0.5, 0.0, 0.0, None, 0) and ruler.class_columns(masses.limit(0), ["variant"]).count() == 0
+
+
+def test_negative_terms_and_summary(spark):
+    """Most texts first, then by code point; half of the texts is not enough; an empty corpus has a row of zeros."""
+    rows = spark.createDataFrame([(1, ["b", "a", "a"]), (2, ["b", "a"]), (3, ["b", "É"]), (4, ["É"]), (5, [])], "doc_id int, terms array<string>")
+    posted, stats = lexical.postings(rows, "doc_id"), lexical.corpus_stats(rows)
+    got = [(r["place"], r["term"], r["df"]) for r in lexical.negative_terms(posted, stats).orderBy("place").collect()]
+    assert got == [(1, "b", 3)]
+    assert tuple(lexical.regime_summary(posted, stats).first()) == (5, 3, 8, 1, 3 / 8)
+    all_in = rows.where("doc_id < 3")
+    got = lexical.negative_terms(lexical.postings(all_in, "doc_id"), lexical.corpus_stats(all_in)).orderBy("place").collect()
+    assert [r["term"] for r in got] == ["a", "b"]
+    none = rows.limit(0)
+    assert tuple(lexical.regime_summary(lexical.postings(none, "doc_id"), lexical.corpus_stats(none)).first()) == (0, 0, 0, 0, 0.0)
