@@ -9,7 +9,7 @@ from __future__ import annotations
 import argparse
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -26,7 +26,7 @@ def refuse_unknown(fixtures: DataFrame, documents: DataFrame) -> None:
 def parse(recorded: DataFrame, documents: DataFrame, fixtures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(markers, sources). Markers: (fixture, marker, part, start, end, raw_chunks, violation, length_delta,
     snapped_start, snapped_end); sources: (fixture, marker, source, document_id of the origin, resolved_by,
-    in_fixture, kind, located_in, start, end, snippet where it was not found)."""
+    in_fixture, kind, located_in, start, end, snippet where it was not found, whether all places are in one document)."""
     refuse_unknown(fixtures, documents)
     checked = ruler.parse_checks(corpus.supports(recorded)).withColumnsRenamed({"id": "fixture", "support": "marker"})
     text, a, b = F.col("part_text"), F.col("start_byte"), F.col("end_byte")
@@ -50,10 +50,10 @@ def parse(recorded: DataFrame, documents: DataFrame, fixtures: DataFrame) -> tup
     n = F.char_length("snippet")
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("text") - n + 1)), lambda i: F.substring(F.col("text"), i, n) == F.col("snippet"))
     hits = looks.where((n > 0) & F.contains("text", "snippet")).select("fixture", "marker", "source", "look", F.explode(at).alias("at"), n.alias("n"))
-    places = hits.groupBy("fixture", "marker", "source").agg(F.count("*").alias("places"), F.min(F.struct("look", "at", "n")).alias("first"))
+    places = hits.groupBy("fixture", "marker", "source").agg(F.count("*").alias("places"), F.count_distinct("look").alias("texts"), F.min(F.struct("look", "at", "n")).alias("first"))
     rows = rows.join(places, ["fixture", "marker", "source"], "left")
     kind = F.when(F.col("places").isNull(), "not_found").when(F.col("places") == 1, "exact").otherwise("ambiguous")
-    sources = rows.select("fixture", "marker", "source", "document_id", "resolved_by", "in_fixture", kind.alias("kind"), F.col("first.look").alias("located_in"), (F.col("first.at") - 1).alias("start"), (F.col("first.at") - 1 + F.col("first.n")).alias("end"), F.when(kind == "not_found", F.col("snippet")).alias("snippet"))
+    sources = rows.select("fixture", "marker", "source", "document_id", "resolved_by", "in_fixture", kind.alias("kind"), F.col("first.look").alias("located_in"), (F.col("first.at") - 1).alias("start"), (F.col("first.at") - 1 + F.col("first.n")).alias("end"), F.when(kind == "not_found", F.col("snippet")).alias("snippet"), (F.col("texts") == 1).alias("same_document"))
     return markers.drop("indices", "chunks"), sources
 
 
@@ -83,7 +83,9 @@ def score(markers: DataFrame, sources: DataFrame, labels: DataFrame, threshold:
     """The counters of each fixture."""
     segments, golds = label_rows(labels)
     states = marked(markers, sources, labels, threshold)
-    buckets = sources.groupBy("fixture").agg(F.count_if(F.col("kind") == "not_found").alias("not_located"), F.count_if(F.col("kind") == "ambiguous").alias("ambiguous"), F.count_if((F.col("kind") == "not_found") & (F.col("document_id").isNull() | ~F.col("in_fixture"))).alias("unmatched_document"))
+    lost, many = F.col("kind") == "not_found", F.col("kind") == "ambiguous"
+    by = lambda how: F.count_if(lost & (F.col("resolved_by") == how))
+    buckets = sources.groupBy("fixture").agg(F.count_if(lost).alias("not_located"), by("customMetadata").alias("lost_by_custom"), by("title").alias("lost_by_title"), F.count_if(many).alias("ambiguous"), F.count_if(many & F.col("same_document")).alias("ambiguous_in_one"), F.count_if(lost & (F.col("document_id").isNull() | ~F.col("in_fixture"))).alias("unmatched_document"))
     differed = states.where((F.coalesce("overlap", F.lit(0.0)) > 0) & (F.col("picked") != F.col("first"))).groupBy("fixture").agg(F.count("*").alias("pick_differed"))
     outside = states.where("state = 'scored'").withColumn("source", F.col("chosen")).join(sources.select("fixture", "marker", "source", "document_id", "in_fixture"), ["fixture", "marker", "source"])
     outside = outside.where(F.col("document_id").isNotNull() & ~F.col("in_fixture")).groupBy("fixture").agg(F.count("*").alias("outside_fixture"))
@@ -110,16 +112,24 @@ def refuse_unequal(scores: DataFrame, recorded: DataFrame) -> None:
         raise ValueError(f"{s or 0} scores of {r or 0} recordings: {wrong} answers do not have one of each")
 
 
+def header_differs(meta: dict) -> Column:
+    """Whether a recording's header is another than the run's, in any of the fields that the run states: model,
+    storeEmbeddingModel, storeChunking (maxTokensPerChunk, maxOverlapTokens), and recordedAt, a moment or `first/last`."""
+    stated = {k: meta[k] for k in ("model", "storeEmbeddingModel") if k in meta} | {f"storeChunking.{k}": v for k, v in meta.get("storeChunking", {}).items()}
+    first, _, last = meta.get("recordedAt", "").partition("/")
+    same = [F.col(c).eqNullSafe(F.lit(v)) for c, v in stated.items()]
+    if first:
+        same.append(F.coalesce(F.col("recordedAt").between(first, last or first), F.lit(False)))
+    return ~reduce(Column.__and__, same, F.lit(True))
+
+
 def report(scores: DataFrame, markers: DataFrame, recorded: DataFrame, variants: DataFrame, meta: dict | None = None) -> DataFrame:
     """One row for each variant: sums, rates, gates. Publishable is what has no violation and no recording
     whose header is another; documents are not named where too many snippets match none."""
     refuse_unequal(scores, recorded)
-    headed = recorded.select(F.col("id").alias("fixture"), "recordedAt", F.greatest(F.coalesce("usageMetadata.toolUsePromptTokenCount", "usageMetadata.tool_use_prompt_token_count", F.lit(0)), F.lit(0)).alias("tool_tokens"), *[F.col(c) for c in ("model", "storeEmbeddingModel")])
-    mismatch = F.lit(False)
-    for c in ("model", "storeEmbeddingModel"):
-        if meta and c in meta:
-            mismatch = mismatch | (F.col(c) != meta[c])
-    heads = headed.join(variants, "fixture").groupBy("variant").agg(F.count_if(F.col("tool_tokens") > 0).alias("tool_used"), F.count_if(mismatch).alias("meta_mismatch"))
+    grounded = (F.coalesce(F.size("groundingMetadata.groundingChunks"), F.lit(0)) > 0) | (F.coalesce(F.size("groundingMetadata.groundingSupports"), F.lit(0)) > 0)
+    headed = recorded.select(F.col("id").alias("fixture"), "recordedAt", F.greatest(F.coalesce("usageMetadata.toolUsePromptTokenCount", "usageMetadata.tool_use_prompt_token_count", F.lit(0)), F.lit(0)).alias("tool_tokens"), *[header_differs(meta or {}).alias("differs"), grounded.alias("grounded")])
+    heads = headed.join(variants, "fixture").groupBy("variant").agg(F.count_if(F.col("tool_tokens") > 0).alias("tool_used"), F.count_if((F.col("tool_tokens") > 0) & ~F.col("grounded")).alias("empty_metadata"), F.count_if("differs").alias("meta_mismatch"))
     broken = violations(markers).join(variants, "fixture").groupBy("variant").agg(*(F.sum(c).alias(c) for c in ("length", "position", "missing_part", "missing_field", "snapped_starts", "snapped_ends")), F.bool_and("all_plus_one").alias("all_plus_one"))
     out = ruler.run_report(scores.join(variants, "fixture"), ["variant"]).join(broken, "variant", "left").join(heads, "variant", "left")
     out = out.join(ruler.recorded_at(headed.join(variants, "fixture"), ["variant"], "recordedAt"), "variant", "left")

@@ -160,6 +160,7 @@ def test_a_round(spark, tmp_path):
     assert (r["choice_supports"], r["partial_supports"], r["sourceless"], r["not_located"], r["ambiguous"], r["unmatched_document"]) == (1, 1, 1, 1, 1, 1)
     assert (r["length"], r["position"], r["meta_mismatch"], r["publishable"], r["all_plus_one"]) == (1, 1, 0, False, True)
     assert r["precision"] == 1.0 and r["sample_sufficient"] is False and r["tool_used"] == 1 and r["by_document_held"] is False
+    assert (r["lost_by_custom"], r["lost_by_title"], r["ambiguous_in_one"], r["empty_metadata"]) == (0, 0, 1, 0)
     plain, code = r["by_class"]["plain"], r["by_class"]["code"]
     assert len(r["by_class"]) == 6 and tuple(plain) == (1.0, 1.0, 1.0, 1.0, 1.0, 2) and tuple(code) == (0.0, 0.0, 0.0, 0.0, None, 0)
     _, sources = R.parse(recorded, documents, fixtures)
@@ -176,6 +177,16 @@ def test_a_round(spark, tmp_path):
         R.parse(recorded, documents, spark.createDataFrame([("q", "lost")], "fixture string, document_id string"))
 
 
+def test_headers(spark):
+    """A field that the run states must be equal, a date within the interval; what it does not state is free."""
+    kind = "model string, recordedAt string, storeEmbeddingModel string, storeChunking struct<maxTokensPerChunk:int,maxOverlapTokens:int>"
+    rows = spark.createDataFrame([("m", "2026-02", "e", (200, 20)), ("m", "2026-04", "e", (200, 30)), (None, None, None, None)], kind)
+    differs = lambda meta: [r[0] for r in rows.select(R.header_differs(meta)).collect()]
+    assert differs({}) == [False] * 3 and differs({"model": "m"}) == [False, False, True]
+    assert differs({"recordedAt": "2026-02"}) == [False, True, True] and differs({"recordedAt": "2026-01/2026-04"}) == [False, False, True]
+    assert differs({"storeChunking": {"maxTokensPerChunk": 200, "maxOverlapTokens": 20}}) == [False, True, True]
+
+
 def test_a_saved_index_keeps_its_parameters(spark, tmp_path):
     """Scores after a reload are those of before, whatever k1 and b are."""
     docs = spark.createDataFrame([(str(i), "alfa beta " * (i + 1) + f"gama{i}") for i in range(5)], "doc_id string, text string")
