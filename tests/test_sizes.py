@@ -67,3 +67,14 @@ def test_chunks_need_no_rounds(spark):
     assert "UnionLoop" not in got._jdf.queryExecution().toString()
     assert [tuple(r) for r in got.orderBy("ordinal").collect()] == [(1, i, i * 10, i * 10 + 9) for i in range(3000)]
     assert spark.conf.get("spark.sql.cteRecursionLevelLimit") == before
+
+
+@pytest.mark.parametrize("with_tokens", [True, False])
+def test_analysis_of_a_batch_leaves_in_pieces(with_tokens):
+    """A batch of Arrow is not held with all its tokens."""
+    docs = Held(doc_id="bigint", text="string")
+    analyze.analyze(docs, with_tokens=with_tokens)
+    frame = pd.DataFrame({"doc_id": range(40), "text": ["word after word. " * 2000] * 39 + [None]})
+    sizes = [out for out in docs.run(iter([frame, frame]))]
+    assert [d for out in sizes for d in out["doc_id"]] == [*range(40)] * 2
+    assert all(len(out) <= 8 for out in sizes)
