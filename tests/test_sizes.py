@@ -78,3 +78,36 @@ def test_analysis_of_a_batch_leaves_in_pieces(with_tokens):
     sizes = [out for out in docs.run(iter([frame, frame]))]
     assert [d for out in sizes for d in out["doc_id"]] == [*range(40)] * 2
     assert all(len(out) <= 8 for out in sizes)
+
+
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_block_search_finds_what_the_joins_find(spark, monkeypatch, broadcast):
+    """Copies, ties, blocks, batches of queries and both ways to count, against one row for each shared term."""
+    from attesta.sources import staging
+
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(lexical, "POSTINGS", 150)
+    monkeypatch.setattr(lexical, "ASKED", 60)
+    monkeypatch.setattr(lexical, "MATRIX_BYTES", 800)
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in range(40)]
+    text = lambda n: [words[min(39, int(x))] for x in rng.exponential(6, n)]
+    docs = [(i, text(rng.integers(0, 12))) for i in range(120)]
+    docs += [(200 + i, docs[i % 3 + 5][1]) for i in range(60)]
+    asked = [(i, text(rng.integers(0, 9)) + ["unknown"]) for i in range(40)]
+    docs, asked = spark.createDataFrame(docs, "d long, terms array<string>"), spark.createDataFrame(asked, "q long, terms array<string>")
+    want = lexical.ranked(lexical.bm25(docs, "d", asked, "q", digits=6), "q", "d", 5)
+    got = lexical.best(docs, "d", asked, "q", 5, digits=6)
+    key = lambda df: sorted((r["q"], r["rank"], r["d"], r["score"]) for r in df.collect())
+    assert key(got) == key(want)
+
+
+def test_rungs_make_no_row_for_a_term(spark):
+    """The plan of weights explodes the candidates once, for the counts; the joins are by answer."""
+    from attesta.operators import attribution
+
+    clauses = spark.createDataFrame([(1, 0, ["a", "b"])], "answer long, clause int, terms array<string>")
+    cands = spark.createDataFrame([(1, 5, ["a", "c"]), (1, 6, ["d"])], "answer long, cand long, terms array<string>")
+    got = attribution.candidate_weights(clauses, cands)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert [(r["cand"], round(r["weight"], 6)) for r in got.collect()] == [(5, round(float(np.log(2)), 6))]
