@@ -111,3 +111,14 @@ def test_rungs_make_no_row_for_a_term(spark):
     got = attribution.candidate_weights(clauses, cands)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
     assert [(r["cand"], round(r["weight"], 6)) for r in got.collect()] == [(5, round(float(np.log(2)), 6))]
+
+
+def test_search_tables_go_before_texts_are_sent(spark, sf_dir):
+    """What the search staged is gone when passages are joined to answers, but for what it found."""
+    from attesta.plans import catalogue
+    from attesta.sources import staging
+
+    mark = staging.made()
+    rows = catalogue._retrieved(spark, sf_dir)
+    assert staging.made() - mark == 1
+    assert rows.where("size(results) > 0").count() > 0
